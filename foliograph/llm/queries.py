@@ -7,6 +7,7 @@ import importlib
 #: operator number -> (module, query)
 OPERATORS = {
     1: ("line_dedup", "op1_line_dedup"),
+    6: ("simhash", "op6_simhash"),
     10: ("sharding", "op10_sharding"),
 }
 

@@ -7,6 +7,8 @@ import importlib
 #: operator number -> (module, query)
 OPERATORS = {
     1: ("line_dedup", "op1_line_dedup"),
+    4: ("quality", "op4_quality_rules"),
+    5: ("decontamination", "op5_decontamination"),
     6: ("simhash", "op6_simhash"),
     10: ("sharding", "op10_sharding"),
 }

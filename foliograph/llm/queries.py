@@ -11,6 +11,7 @@ OPERATORS = {
     4: ("quality", "op4_quality_rules"),
     5: ("decontamination", "op5_decontamination"),
     6: ("simhash", "op6_simhash"),
+    9: ("lm_scoring", "op9_lm_scoring"),
     10: ("sharding", "op10_sharding"),
 }
 

@@ -8,6 +8,7 @@ import importlib
 OPERATORS = {
     1: ("line_dedup", "op1_line_dedup"),
     2: ("packing", "op2_packing"),
+    3: ("secret_scan", "op3_secret_scan"),
     4: ("quality", "op4_quality_rules"),
     5: ("decontamination", "op5_decontamination"),
     6: ("simhash", "op6_simhash"),

@@ -6,8 +6,8 @@ the keys that lose lines, and each document gets a run-length bitmap of the line
 never travel with the hashes.
 
 Skew: a range is cut by (hash, salt of the document), so a key in a third of all documents spreads over
-SALTS ranges, and what leaves a range is at most MIN_DOCS rows for a key. The join that sends the
-verdicts back is a sort-merge join on the hash, which AQE splits.
+SALTS ranges, and what leaves a range is at most MIN_DOCS rows for a key. The verdicts go back by
+(hash, salt) as well, so no task holds a key.
 
 Edge cases: a null or empty text is one empty line. Rows with the same doc_id count as one document for a
 key; a null doc_id is one document and the smallest. Empty tables give empty results.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, carried, lower_ascii
+from .common import SPACES, carried, lower_ascii, materialize
 
 MIN_CHARS, MIN_DOCS, SALTS = 20, 3, 256
 
@@ -28,24 +28,25 @@ def _lines(text: Column) -> Column:
 
 
 def line_hashes(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(_id, _tid, pos, h) of every line of `carried` rows whose key is long enough."""
+    """(_id, _tid, pos, h, salt) of every line of `carried` rows whose key is long enough."""
     lines = rows.select("_id", F.xxhash64("_text").alias("_tid"), F.posexplode(_lines(F.col("_text"))).alias("pos", "line"))
     key = lower_ascii(F.btrim("line", F.lit(SPACES)))
-    return lines.select("_id", "_tid", "pos", key.alias("key")).where(F.char_length("key") >= min_chars).select("_id", "_tid", "pos", F.unhex(F.md5("key")).alias("h"))
+    return lines.select("_id", "_tid", "pos", key.alias("key")).where(F.char_length("key") >= min_chars).select("_id", "_tid", "pos", F.unhex(F.md5("key")).alias("h"), F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("short").alias("salt"))
 
 
 def repeated_keys(hashes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(h, keeper): keys in at least min_docs documents, with the largest doc_id that holds each."""
-    ranged = hashes.select("h", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("short").alias("salt"), "_id").repartitionByRange("h", "salt")
+    """(h, salt, keeper): keys in at least min_docs documents, with the largest doc_id that holds each, for every salt that they occur with."""
+    ranged = hashes.select("h", "salt", "_id").repartitionByRange("h", "salt")
     stream = Window.partitionBy("h", "salt").orderBy(F.col("_id").desc_nulls_last())
     firsts = ranged.withColumn("r", F.dense_rank().over(stream)).where(F.col("r") <= min_docs)
-    found = firsts.groupBy("h").agg(F.countDistinct(F.struct("_id")).alias("n"), F.max("_id").alias("keeper"))
-    return found.where(F.col("n") >= min_docs).select("h", "keeper")
+    key = Window.partitionBy("h")  # at most min_docs * SALTS documents
+    found = firsts.select("h", "salt", F.size(F.collect_set(F.struct("_id")).over(key)).alias("n"), F.max("_id").over(key).alias("keeper"))
+    return found.where(F.col("n") >= min_docs).select("h", "salt", "keeper").distinct()
 
 
 def keep_bitmaps(hashes: DataFrame, keys: DataFrame) -> DataFrame:
     """(_id, _tid, drop_runs) of documents that lose lines: sorted [start, end) runs, a run-length-compressed bitmap."""
-    lost = hashes.join(keys, "h").where(~F.col("_id").eqNullSafe(F.col("keeper")))
+    lost = hashes.join(keys, ["h", "salt"]).where(~F.col("_id").eqNullSafe(F.col("keeper")))
     drops = lost.groupBy("_id", "_tid").agg(F.array_sort(F.collect_set("pos")).alias("d"))
     d = F.col("d")
     starts = F.filter(d, lambda x, i: (i == 0) | (F.get(d, i - 1) != x - 1))
@@ -56,7 +57,7 @@ def keep_bitmaps(hashes: DataFrame, keys: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """_row, n_lines, n_dropped, keep_runs, kept: per document the lines that stay, as runs and as text."""
     rows = carried(docs)
-    hashes = line_hashes(rows, min_chars)
+    hashes = materialize(line_hashes(rows, min_chars), "line-hashes")
     maps = keep_bitmaps(hashes, repeated_keys(hashes, min_docs)).select(F.col("_id").alias("b_id"), F.col("_tid").alias("b_tid"), "drop_runs")
     joined = rows.withColumn("_tid", F.xxhash64("_text")).join(maps, F.col("_id").eqNullSafe(F.col("b_id")) & (F.col("_tid") == F.col("b_tid")), "left")
     lines = _lines(F.col("_text"))

@@ -12,6 +12,7 @@ OPERATORS = {
     4: ("quality", "op4_quality_rules"),
     5: ("decontamination", "op5_decontamination"),
     6: ("simhash", "op6_simhash"),
+    7: ("html_text", "op7_html_text"),
     8: ("language_id", "op8_language_id"),
     9: ("lm_scoring", "op9_lm_scoring"),
     10: ("sharding", "op10_sharding"),

@@ -6,8 +6,6 @@ Depth depends on all markers before a line, so the fold is sequential within an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

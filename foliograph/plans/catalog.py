@@ -1,9 +1,12 @@
 """Every query of the library over the driver's tables, with its SQL twin."""
 
+from foliograph.plans import graph_queries, search_queries, table_queries, text_queries  # noqa: F401
+from foliograph.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)

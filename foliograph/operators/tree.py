@@ -1,12 +1,14 @@
 """The hierarchical parse of articles: window functions find what each line is, one grouped fold infers depth.
 
 Depth depends on all markers before a line, so the fold is sequential within an article and runs as
-`applyInPandas` with one group for each (doc_id, article). Everything else is columns.
+`applyInArrow` with one group for each (doc_id, article). Everything else is columns.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from types import SimpleNamespace
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,28 +156,25 @@ def _split(text: str, low: int, high: int, upper: bool) -> tuple[str | None, str
     return (None, (text or "").strip()) if upper else ((text or "").strip(), "")
 
 
-COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
-WHOLE = ("article", "level", "page", "w", "h", "ord", "seq")
+KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+COLUMNS = {c.split()[0]: KINDS[c.split()[1]] for c in RECORD.split(", ")}
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("line_no")
-    fold = Fold(int(pdf["article"].iloc[0]))
-    for line in pdf.itertuples(index=False):
-        fold.read(line)
-    rows = [{"text": " ".join(" ".join(r["texts"]).split())} | {k: v for k, v in r.items() if k in COLUMNS} for r in fold.out]
-    out = pd.DataFrame(rows, columns=COLUMNS)
-    for c in WHOLE:
-        out[c] = pd.to_numeric(out[c]).astype("Int64")
-    out.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-    return out
+def _fold(lines: pa.Table) -> pa.Table:
+    rows = sorted(lines.to_pylist(), key=lambda r: r["line_no"])
+    fold = Fold(rows[0]["article"])
+    for row in rows:
+        fold.read(SimpleNamespace(**row))
+    whole = [r | {"text": " ".join(" ".join(r["texts"]).split())} for r in fold.out]
+    doc = pa.array([rows[0]["doc_id"]] * len(whole), lines.schema.field("doc_id").type)
+    return pa.table([doc, *[pa.array([r.get(c) for r in whole], k) for c, k in COLUMNS.items()]], names=["doc_id", *COLUMNS])
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """RECORDs of all articles: rec is node, part, note, exception, item, definition, figure or anchor; the last six carry the id
     of the node they belong to, and seq keeps the order of what a node owns."""
     ready = prepared(lines)
-    return ready.groupBy("doc_id", "article").applyInPandas(_fold, f"doc_id {dict(ready.dtypes)['doc_id']}, {RECORD}")
+    return ready.groupBy("doc_id", "article").applyInArrow(_fold, f"doc_id {dict(ready.dtypes)['doc_id']}, {RECORD}")
 
 
 def nodes(records: DataFrame) -> DataFrame:

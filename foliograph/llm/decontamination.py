@@ -1,6 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are compared in lower case with white space runs as one blank. An item of m characters has a budget of k = floor(RATE * m)
+Texts are compared as their words (runs of letters and digits) in lower case, joined by one blank, so that layout, punctuation
+and marks between words don't count. An item of m characters has a budget of k = floor(RATE * m)
 edits and is split into k + 1 pieces: a passage within the budget holds one of them unchanged. The pieces of a block of
 items are found in every text by one Aho-Corasick automaton, and each place that a hit allows is verified by Myers'
 bit-parallel distance, free at both ends. There is no limit on hits or matches.
@@ -14,6 +15,8 @@ are left out; equal items are reported under each id; repeated rows give repeate
 
 from __future__ import annotations
 
+import re
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,11 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import carried, map_rows
 
+OTHER = re.compile(r"[\W_]+")
 RATE, MIN_ITEM_WORDS, BLOCK_CHARS = 0.08, 5, 4_000_000
 
 
 def normal(text: str | None) -> str:
-    return " ".join((text or "").lower().split())
+    return OTHER.sub(" ", (text or "").lower()).strip(" ")
 
 
 def masks(pattern: str) -> dict[str, int]:

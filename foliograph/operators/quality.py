@@ -32,10 +32,9 @@ def distinct_references(nodes: DataFrame, pattern: str) -> tuple[DataFrame, Data
 def coverage(lines: DataFrame, vocabulary: DataFrame, key: list[str], line_key: list[str], text: str = "text", min_chars: int = MIN_LINE, min_share: float = MIN_SHARE) -> DataFrame:
     """(line_key, words, found, covered) of every line of at least min_chars characters with a word: covered if min_share of its words are in its key's vocabulary (key, term)."""
     long = lines.where(F.char_length(F.trim(text)) >= min_chars).select(*line_key, F.explode(tokens(F.col(text))).alias("term"))
-    counted = long.groupBy(*line_key, "term").agg(F.count("*").alias("n"))
     known = vocabulary.select(*key, "term").distinct().withColumn("_in", F.lit(1))
-    hit = counted.join(known, [*key, "term"], "left")
-    out = hit.groupBy(*line_key).agg(F.sum("n").alias("words"), F.sum(F.when(F.col("_in") == 1, F.col("n")).otherwise(0)).alias("found"))
+    hit = long.join(known, [*key, "term"], "left")
+    out = hit.groupBy(*line_key).agg(F.count("*").alias("words"), F.count("_in").alias("found"))
     return out.withColumn("covered", F.col("found") >= F.lit(min_share) * F.col("words"))
 
 

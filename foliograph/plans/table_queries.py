@@ -9,6 +9,7 @@ from foliograph.operators import review as V
 from foliograph.plans.registry import query, table
 from foliograph.plans.text_queries import LINES, document_lines
 from foliograph.sources.collections import markdown_rows
+from foliograph.streaming.windows import windowed_counts
 
 
 @query("""
@@ -170,3 +171,8 @@ WITH {REVIEW} SELECT p_partkey AS id, list_filter([CASE WHEN cols < 2 THEN 'one
 def review_signals(spark, sf_dir):
     t = _reviewed(spark, sf_dir).withColumns({"grid": F.lit("rejilla"), "header_rows": F.lit(1), "pages": F.array(F.lit(1))})
     return t.select("id", V.signals(F.col("usos")).alias("signals"))
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))

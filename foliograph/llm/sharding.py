@@ -6,7 +6,7 @@ sizes as column sums, each row from the multivariate hypergeometric law given wh
 A block ranks its rows by a seeded hash (the local permutation) and deals them out by its row of the matrix; a
 second seeded hash orders the rows inside their shard, ranked in sub-ranges whose counts are added up.
 
-Only the given columns travel. Blocks and sub-ranges are 4 for each shuffle partition, so a task holds a share of
+Only the given columns travel, and what has been dealt is written once before slots are counted. Blocks and sub-ranges are 4 for each shuffle partition, so a task holds a share of
 the rows, never a shard. Same input, seed and partitions give the same result.
 
 Edge cases: null or empty texts are rows of size 1; equal rows are told apart only by count, so any of them may
@@ -21,6 +21,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     """Exact draw by inversion from the mode outward, for populations of any size."""
@@ -90,7 +92,7 @@ def shard_rows(rows: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     for j in reversed(range(shards - 1)):
         shard = F.when(F.col("_rank") <= F.col(f"_c{j}"), F.lit(j)).otherwise(shard)
     sub = F.pmod(F.shiftrightunsigned("_final", 20), F.lit(blocks)).cast("int")
-    placed = joined.select("_row", "_final", "_local", shard.alias("shard"), sub.alias("_sub"))
+    placed = materialize(joined.select("_row", "_final", "_local", shard.alias("shard"), sub.alias("_sub")), "placed")
     inside = placed.withColumn("_n", F.row_number().over(Window.partitionBy("shard", "_sub").orderBy("_final", "_local")))
     # shards x sub-ranges numbers at most, whatever the input
     sizes = placed.groupBy("shard", "_sub").count()
@@ -103,7 +105,7 @@ def op10_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return shard_rows(rows).select("_row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shard_rows(materialize(rows, "rows")).select("_row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 ORACLE: dict[str, str] = {}

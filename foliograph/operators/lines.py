@@ -137,6 +137,13 @@ def chapters(lines: DataFrame, pattern: str = TOC_CHAPTER) -> DataFrame:
     return step.where(F.rlike("u", F.lit(pattern))).select("doc_id", F.regexp_extract("u", pattern, 1).cast("int").alias("num"), F.coalesce(rest, "next", F.lit("")).alias("title"))
 
 
+def listed_tables(lines: DataFrame) -> DataFrame:
+    """(id, title) of the general tables that the contents list, the first of each id."""
+    pattern = r"^Tabla\s+(\d{1,2}[A-Z]?(?:\([A-Z]\))?)\.?\s*[-.]?\s*(.*)$"
+    found = lines.where(F.rlike(F.trim("text"), F.lit(pattern))).select(F.regexp_extract(F.trim("text"), pattern, 1).alias("id"), F.regexp_extract(F.trim("text"), pattern, 2).alias("title"), "line_no")
+    return found.groupBy("id").agg(F.min_by("title", "line_no").alias("title"))
+
+
 def find_articles(lines: DataFrame, toc: DataFrame, body_page: int = 9) -> DataFrame:
     """(doc_id, num, line_no): the first body heading of every listed article."""
     heads = after_page(lines, body_page).withColumn("num", F.regexp_extract(unaccent(F.trim("text")), ARTICLE, 1).try_cast("int")).where("num is not null")

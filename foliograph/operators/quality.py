@@ -89,9 +89,14 @@ def histogram(tables: DataFrame, quality: str = "quality") -> DataFrame:
 
 
 def upper_median(df: DataFrame, key: list[str], value: str) -> DataFrame:
-    """(key, low, middle, high); the middle of an even number is the upper one."""
-    v = df.groupBy(*key).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    return v.select(*key, F.get("v", F.lit(0)).alias("low"), F.get("v", F.floor(F.size("v") / 2).cast("int")).alias("middle"), F.get("v", F.size("v") - 1).alias("high"))
+    """(key, low, middle, high); the middle of an even number is the upper one. Equal values are counted before they meet, so
+    no task gathers a key's rows."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*key)
+    below = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("_below", below).withColumn("_all", F.sum("_n").over(group))
+    middle = F.min(F.when(F.col("_below") > F.floor(F.col("_all") / 2), F.col(value)))
+    return ranked.groupBy(*key).agg(F.min(value).alias("low"), middle.alias("middle"), F.max(value).alias("high"))
 
 
 def check(name: str, value: DataFrame, column: str, floor: float | None = None, ceiling: float | None = None) -> DataFrame:

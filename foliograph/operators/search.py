@@ -31,9 +31,10 @@ def documents(nodes: DataFrame, annotations: DataFrame, articles: DataFrame, def
 
 
 def unique_ids(docs: DataFrame) -> DataFrame:
-    """docs, failing at run time on an id that repeats."""
-    n = F.count("*").over(Window.partitionBy("id"))
-    return docs.withColumn("_n", n).withColumn("id", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate search id "), "id"))).otherwise(F.col("id"))).drop("_n")
+    """docs, failing at run time on an id that repeats. Only ids are shuffled: the check is a scalar beside the rows."""
+    again = docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").agg(F.min("id")).scalar()
+    fail = F.raise_error(F.concat(F.lit("duplicate search id "), again))
+    return docs.withColumn("id", F.when(again.isNotNull(), fail.cast("string")).otherwise(F.col("id")))
 
 
 def code_matches(docs: DataFrame, query: str, items: DataFrame | None = None) -> DataFrame:

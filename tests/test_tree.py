@@ -98,6 +98,10 @@ def test_contents_and_article_starts(spark):
     df = spark.createDataFrame([("d", i, 3, t) for i, t in enumerate(rows)], "doc_id string, line_no long, page int, text string")
     toc = L.table_of_contents(df)
     assert [(r.num, r.title, r.chapter) for r in toc.orderBy("num").collect()] == [(110, "Requisitos de las instalaciones", 1), (210, "Circuitos", 1)]
+    listed = spark.createDataFrame([("d", 1, "Tabla 8 Conductores"), ("d", 2, "Tabla 11(A) Límites"), ("d", 3, "Tabla 8 otra"), ("d", 4, "En la Tabla 9")], "doc_id string, line_no long, text string")
+    assert {r.id: r.title for r in L.listed_tables(listed).collect()} == {"8": "Conductores", "11(A)": "Límites"}
+    last = spark.createDataFrame([(699, 1, "APÉNDICE A Antes"), (701, 2, "APENDICE A. Resumen"), (702, 3, "APENDICE A. Otra")], "page int, line_no long, text string")
+    assert [(r.letter, r.title) for r in L.appendices(last).collect()] == [("A", "Resumen")]
     assert [(r.num, r.title) for r in L.chapters(df).collect()] == [(1, "Disposiciones generales")]
     body = spark.createDataFrame([("d", 50, 5, "ARTICULO 110"), ("d", 60, 11, "ARTÍCULO 110"), ("d", 70, 12, "ARTICULO 110"), ("d", 80, 12, "ARTICULO 999")], "doc_id string, line_no long, page int, text string")
     assert [tuple(r) for r in L.find_articles(body, toc).collect()] == [("d", 110, 60)]

@@ -15,7 +15,7 @@ from foliograph.streaming.windows import windowed_counts
 @query("""
 WITH d AS (SELECT user_id, value, CASE WHEN value - lag(value) OVER (PARTITION BY user_id ORDER BY value) > 2.0 THEN 1 ELSE 0 END AS n FROM events),
 c AS (SELECT user_id, value, sum(n) OVER (PARTITION BY user_id ORDER BY value RANGE UNBOUNDED PRECEDING) AS cluster FROM d)
-SELECT user_id, cluster, round(avg(value), 6) AS center, count(*) AS n FROM c GROUP BY user_id, cluster""")
+SELECT user_id, cluster::BIGINT AS cluster, round(avg(value), 6) AS center, count(*) AS n FROM c GROUP BY user_id, cluster""")
 def tolerance_clusters(spark, sf_dir):
     return D.tolerance_clusters(table(spark, sf_dir, "events"), ["user_id"], "value", 2.0, digits=6)
 
@@ -31,7 +31,7 @@ def _ships(spark, sf_dir):
 @query(f"""
 WITH {SHIPS}, m AS (SELECT *, max(b) OVER (PARTITION BY l_suppkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
 i AS (SELECT *, sum(CASE WHEN a - reach >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
-SELECT l_suppkey, island, min(a)::DOUBLE AS a, max(b)::DOUBLE AS b, count(*) AS n FROM i GROUP BY l_suppkey, island""")
+SELECT l_suppkey, island::BIGINT AS island, min(a)::DOUBLE AS a, max(b)::DOUBLE AS b, count(*) AS n FROM i GROUP BY l_suppkey, island""")
 def running_max_islands(spark, sf_dir):
     return D.running_islands(_ships(spark, sf_dir), ["l_suppkey"], "a", "b", 3.0).groupBy("l_suppkey", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n"))
 
@@ -105,7 +105,7 @@ def column_fill(spark, sf_dir):
 
 @query("""
 WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) % 3 + 1 AS cs, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS ord FROM lineitem)
-SELECT l_orderkey AS id, ord, cs, sum(cs) OVER (PARTITION BY l_orderkey ORDER BY ord) - cs AS col, sum(cs) OVER (PARTITION BY l_orderkey) AS covered FROM c""")
+SELECT l_orderkey AS id, ord, cs, (sum(cs) OVER (PARTITION BY l_orderkey ORDER BY ord) - cs)::BIGINT AS col, (sum(cs) OVER (PARTITION BY l_orderkey))::BIGINT AS covered FROM c""")
 def cell_layout(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     cell = F.struct("l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity").cast("int") % 3 + 1).alias("cs"))

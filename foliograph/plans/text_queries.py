@@ -19,7 +19,7 @@ def document_lines(spark, sf_dir):
     return L.split_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(f"WITH {LINES} SELECT doc_id, count(*) AS n_lines, max(line_no) AS last_line, sum(length(text)) AS chars FROM lines GROUP BY doc_id")
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS n_lines, max(line_no) AS last_line, sum(length(text))::BIGINT AS chars FROM lines GROUP BY doc_id")
 def lines_exploded(spark, sf_dir):
     return document_lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max("line_no").alias("last_line"), F.sum(F.char_length("text")).alias("chars"))
 
@@ -126,7 +126,7 @@ def keep_first(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT conv_id, turn, role, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS c FROM conversations)
-SELECT conv_id, turn, role, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t""")
+SELECT conv_id, turn, role, (sum(c) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS run FROM t""")
 def contiguous_groups(spark, sf_dir):
     return V.contiguous_groups(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "role")
 
@@ -164,7 +164,7 @@ WITH {LINES},
 v AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS term FROM benchmark),
 w AS (SELECT doc_id, line_no, unnest({WORDS.format('text')}) AS term FROM lines WHERE length(trim(text, ' ')) >= 25),
 s AS (SELECT w.doc_id, w.line_no, count(*) AS words, count(v.term) AS found FROM w LEFT JOIN v ON w.term = v.term GROUP BY w.doc_id, w.line_no)
-SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE found >= 0.6 * words) AS covered, sum(words) AS words, sum(found) AS found FROM s GROUP BY doc_id""")
+SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE found >= 0.6 * words) AS covered, sum(words)::BIGINT AS words, sum(found)::BIGINT AS found FROM s GROUP BY doc_id""")
 def coverage_ratio(spark, sf_dir):
     lines = document_lines(spark, sf_dir).withColumn("all", F.lit(1))
     vocabulary = Q.vocabulary((table(spark, sf_dir, "benchmark").withColumn("all", F.lit(1)), ["all"], "text"))

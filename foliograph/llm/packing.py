@@ -206,7 +206,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, shar
         df[token] = c
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
     mean = max(1.0, (size or 0) / kind().itemsize / max(1, n))
-    near = tokens.repartitionByRange("key", "_id").sortWithinPartitions("key", "_id")
+    near = tokens.repartitionByRange("key", "_id").sortWithinPartitions("key", "_id", "total", "tail", "full")  # the same order in every attempt
     return map_rows(near, _pack_batches(idf, mean, kind, window, shard, with_ids), PIECE)
 
 

@@ -79,8 +79,8 @@ def shard_rows(rows: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     """All columns of rows as struct `_row`, with shard (int) and slot (long, gapless from 0 in a shard)."""
     spark = rows.sparkSession
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [rows[c] for c in rows.columns]
-    base = rows.select(F.struct(*cols).alias("_row"), F.pmod(_uniform(seed, "block", cols), F.lit(blocks)).cast("int").alias("_block"), _uniform(seed, "local", cols).alias("_local"), _uniform(seed, "final", cols).alias("_final"))
+    cols = [rows[c] for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"]  # those that have a hash
+    base = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("_row"), F.pmod(_uniform(seed, "block", cols), F.lit(blocks)).cast("int").alias("_block"), _uniform(seed, "local", cols).alias("_local"), _uniform(seed, "final", cols).alias("_final"))
     counts = dict(base.groupBy("_block").count().collect())
     held = [counts.get(b, 0) for b in range(blocks)]
     matrix = communication_matrix(held, shards, seed)

@@ -3,8 +3,8 @@
     spark-submit -m foliograph.plans.build SOURCE TARGET [--no-gate]
 
 SOURCE holds Parquet frames `lines` (doc_id, article, line_no, page, kind, text, ref, w, h), `toc` (num, title, chapter, page),
-`tables`, and optionally `overlay` (JSON, corrections) and `glossary` (lines of the glossary article). Each
-collection is written once and read back by the stages after it.
+`tables`, and optionally `overlay` (JSON, corrections) and `glossary` (lines of the glossary; by default those of article GLOSSARY). Each
+collection is written once and read back by the stages after it. `build_lines` makes lines and toc from pages.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from foliograph.operators import graph, grid, overlay, quality, refs, review, search, tree
 from foliograph.sources.collections import exists, write_compact
 
+GLOSSARY = 100
 OVERLAY = "id string, verificada string, title string, cols int, header_rows int, intro string, rows array<array<struct<t:string,cs:int,rs:int>>>, notes array<string>, informativa boolean, article int, pages array<int>, regions array<struct<page:int,y0:double,y1:double>>"
 
 
@@ -33,10 +34,8 @@ def build(spark: SparkSession, source: str, target: str, gate: bool = True, floo
     tables = kept(tables, "tables")
     records = kept(tree.parse(lines), "records")
     nodes, notes = kept(tree.nodes(records), "nodes"), kept(tree.annotations(records), "annotations")
-    if exists(spark, f"{source}/glossary"):
-        terms = tree.glossary(spark.read.parquet(f"{source}/glossary"))[0]
-    else:
-        terms = spark.createDataFrame([], "doc_id string, term string, definition string, part string, page int")
+    entries = spark.read.parquet(f"{source}/glossary") if exists(spark, f"{source}/glossary") else lines.where((F.col("article") == GLOSSARY) & (F.col("kind") == "text"))
+    terms, scope = tree.glossary(entries)
     terms = kept(terms, "definitions")
 
     owned = notes.groupBy(F.col("node_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("notes"))
@@ -53,13 +52,15 @@ def build(spark: SparkSession, source: str, target: str, gate: bool = True, floo
     write_compact(search.documents(nodes, notes, toc, terms, flat), f"{target}/search")
 
     parts = records.where("rec = 'part'")
-    vocabulary = quality.vocabulary((nodes, ["article"], "title"), (nodes, ["article"], "text"), (records.where("rec <> 'node'"), ["article"], "text"), (parts, ["article"], "title"), (toc.withColumnRenamed("num", "article"), ["article"], "title"))
+    vocabulary = quality.vocabulary((nodes, ["article"], "title"), (nodes, ["article"], "text"), (records.where("rec <> 'node'"), ["article"], "text"), (parts, ["article"], "title"), (toc.withColumnRenamed("num", "article"), ["article"], "title"), *[(df.withColumn("article", F.lit(GLOSSARY)), ["article"], c) for df, c in ((terms, "term"), (terms, "definition"), (scope, "text"))])
     covered = quality.coverage_summary(quality.coverage(lines.where("kind = 'text'"), vocabulary, ["article"], ["article", "doc_id", "line_no"]))
     counts, floors = quality.counters(records), quality.FLOORS | (floors or {})
     positions = kept(grid.cell_positions(tables), "cells")
     reliable = tables.agg(F.count_if(F.col("quality") >= quality.RELIABLE).alias("n"))
+    numbered = nodes.where("parent_id is null").withColumn("number", F.regexp_extract("id", r"-(\d+)$", 1).try_cast("int"))
     report = quality.report(
-        *[quality.check(c, counts, c, floor=floors[c]) for c in ("articles", "sections", "items")],
+        quality.check("articles", toc.agg(F.count("*").alias("n")), "n", floor=floors["articles"]),
+        *[quality.check(c, counts, c, floor=floors[c]) for c in ("sections", "items")],
         quality.check("definitions", terms.agg(F.count("*").alias("n")), "n", floor=floors["definitions"]),
         quality.check("coverage_pct", covered, "coverage_pct", floor=floors["coverage_pct"]),
         quality.check("tables", tables.agg(F.count("*").alias("n")), "n", floor=floors["tables"]),
@@ -69,6 +70,7 @@ def build(spark: SparkSession, source: str, target: str, gate: bool = True, floo
         quality.none_of("references to unknown tables", graph.dangling(edges, "tabla", tables, "id")),
         quality.none_of("repeated ids", quality.duplicates(nodes, "id")),
         quality.none_of("empty sections", quality.empty_sections(nodes, notes)),
+        quality.none_of("sections out of order", quality.out_of_order(numbered, ["doc_id", "article"], ["ord"], "number")),
         quality.none_of("rows of uneven width", quality.uneven_rows(positions, tables)),
         quality.none_of("columns without data", quality.columns_without_data(positions, tables)),
     )

@@ -64,7 +64,7 @@ def test_build(spark, tmp_path):
     spark.createDataFrame([("8", "Valores", None, [300], 300, 2, 1, "", rows, "rejilla", [], 1.0, None, False, False, False)], "id string, title string, article int, pages array<int>, page int, cols int, header_rows int, intro string, rows array<array<struct<t:string,cs:int,rs:int>>>, grid string, notes array<string>, quality double, verificada string, encabezado_dudoso boolean, sin_numero boolean, informativa boolean").write.parquet(f"{source}/tables")
     low = {"articles": 1, "sections": 2, "items": 1, "definitions": 0, "tables": 1, "reliable_tables": 1}
     report = build(spark, source, target, floors=low)
-    assert report.where("ok").count() == report.count() == 14
+    assert report.where("ok").count() == report.count() == 15
     edges = {(r.src, r.dst, r.type) for r in spark.read.parquet(f"{target}/edges").collect()}
     assert edges == {("110-1", "tabla:8", "tabla"), ("110-1(a)", "110-2", "seccion"), ("110-1(a)", "art:110", "articulo")}
     assert spark.read.json(f"{target}/search").count() == 3

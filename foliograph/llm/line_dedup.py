@@ -38,7 +38,8 @@ def repeated_keys(hashes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(h, salt, keeper): keys in at least min_docs documents, with the largest doc_id that holds each, for every salt that they occur with."""
     ranged = hashes.select("h", "salt", "_id").repartitionByRange("h", "salt")
     stream = Window.partitionBy("h", "salt").orderBy(F.col("_id").desc_nulls_last())
-    firsts = ranged.withColumn("r", F.dense_rank().over(stream)).where(F.col("r") <= min_docs)
+    # a document that repeats its line counts once, in the same partitioning
+    firsts = ranged.withColumn("r", F.dense_rank().over(stream)).where(F.col("r") <= min_docs).select("h", "salt", "_id").distinct()
     key = Window.partitionBy("h")  # at most min_docs * SALTS documents
     found = firsts.select("h", "salt", F.size(F.collect_set(F.struct("_id")).over(key)).alias("n"), F.max("_id").over(key).alias("keeper"))
     return found.where(F.col("n") >= min_docs).select("h", "salt", "keeper").distinct()

@@ -23,7 +23,9 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -219,10 +221,13 @@ class Model:
 def spans(text: str, model: Model) -> tuple[list, list]:
     """Base spans, and all spans, of a text."""
     base = base_spans(text)
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for *_, e in base), max))  # the furthest end so far
     more = []
     for m in RUN.finditer(text):
         a, b = m.span()
-        if not any(s < b and a < e for s, _, e in base) and model.secret(m[0]):
+        before = bisect_left(starts, b)
+        if not (before and reach[before - 1] > a) and model.secret(m[0]):
             more.append((a, 3, b))
     return base, sorted(base + more)
 

@@ -54,7 +54,10 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("texts", [line_texts(), AWKWARD + [long_line(1)] * 4], ids=["mixed", "awkward"])
+ONE_REPEATS = ["\n".join([long_line(2)] * 500), long_line(2), "\n".join([long_line(3)] * 500 + [long_line(2)]), long_line(3)]
+
+
+@pytest.mark.parametrize("texts", [line_texts(), AWKWARD + [long_line(1)] * 4, ONE_REPEATS], ids=["mixed", "awkward", "one repeats"])
 def test_line_dedup(spark, texts):
     out = line_dedup.dedup_lines(make(spark, texts)).select("_row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("sha")).collect()
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.sha) for r in out} == brute_lines(list(enumerate(texts)))

@@ -161,6 +161,16 @@ def test_secret_spans(spark):
     assert secret_scan.scan(make(spark, [])).count() == 0
 
 
+def test_format_spans_keep_off_base_spans():
+    model, r = secret_scan.Model(), random.Random(8)
+    make_one = list(secret_scan.FORMATS.values())
+    for _ in range(100):
+        text = "".join(r.choice(["token=", "password: ", " ", "/", "word ", "0123456789abcdef" * 2, r.choice(make_one)(r)]) for _ in range(12))
+        base, every = secret_scan.spans(text, model)
+        runs = [m for m in secret_scan.RUN.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+        assert every == sorted(base + [(m.start(), 3, m.end()) for m in runs if model.secret(m[0])])
+
+
 def test_automata_tell_secrets_from_words():
     model, r = secret_scan.Model(), random.Random(77)
     for name, make_one in secret_scan.FORMATS.items():

@@ -30,8 +30,9 @@ def _folding() -> tuple[str, str]:
 
 
 def unaccent(col: Column) -> Column:
-    """Drop diacritics, keep the case."""
-    return F.translate(F.regexp_replace(col, r"\p{Mn}", ""), *_folding())
+    """Drop diacritics, keep the case. Plain ASCII has none and passes as it is."""
+    folded = F.translate(F.regexp_replace(col, r"\p{Mn}", ""), *_folding())
+    return F.when(F.octet_length(col) == F.char_length(col), col).otherwise(folded)
 
 
 def fix_glyphs(col: Column) -> Column:

@@ -9,8 +9,8 @@ bit-parallel distance, free at both ends. There is no limit on hits or matches.
 Items travel to the tasks in blocks of about BLOCK_CHARS characters, each block in a pass of its own, so what is broadcast
 is bounded however large the benchmark is. Documents are never shuffled.
 
-Edge cases: null and empty texts match nothing; items under MIN_ITEM_WORDS words are too short to tell and
-are left out; equal items are reported under each id; repeated rows give repeated matches; null ids are carried.
+Edge cases: null and empty texts match nothing; items without letters and digits are
+left out, all others are searched, the shortest (a budget of 0) as exact copies wherever they stand; equal items are reported under each id; repeated rows give repeated matches; null ids are carried.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import carried, map_rows
 
 OTHER = re.compile(r"[\W_]+")
-RATE, MIN_ITEM_WORDS, BLOCK_CHARS = 0.08, 5, 4_000_000
+RATE, BLOCK_CHARS = 0.08, 4_000_000
 
 
 def normal(text: str | None) -> str:
@@ -68,7 +68,7 @@ class Matcher:
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             text = normal(text)
-            if text.count(" ") + 1 < MIN_ITEM_WORDS:
+            if not text:
                 continue
             m = len(text)
             k = int(m * rate)
@@ -86,9 +86,13 @@ class Matcher:
         if not self.items:
             return []
         windows: dict[int, list[list[int]]] = {}
+        exact: dict[int, int] = {}  # the first end of items without a budget, whose only piece is the item
         for last, (size, where) in self.auto.iter(text):
             for i, offset in where:
                 _, m, k, *_ = self.items[i]
+                if not k:
+                    exact.setdefault(i, last + 1)
+                    continue
                 start = last + 1 - size - offset
                 low, high = max(0, start - k), start + m + k
                 spans = windows.setdefault(i, [])
@@ -96,7 +100,7 @@ class Matcher:
                     spans[-1][1] = max(high, spans[-1][1])
                 elif not spans or spans[-1] != [low, high]:
                     spans.append([low, high])
-        out = []
+        out = [(self.items[i][0], 0, 0, end - self.items[i][1], end) for i, end in exact.items()]
         for i, spans in windows.items():
             item_id, m, k, eq, back = self.items[i]
             best = None

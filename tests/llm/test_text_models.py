@@ -134,6 +134,19 @@ def test_leaks_against_brute_force(spark):
     assert decontamination.find_leaks(df, bench.limit(0)).count() == 0 == decontamination.drop_leaks(df.limit(0), bench).count()
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    chinese = "北京是中华人民共和国的首都，也是全国的政治、文化中心，这座城市有三千多年的建城史和八百多年的建都史。"
+    near = chinese.replace("全国", "全球")
+    texts = ["前言。" + chinese + "后记。", "前言" + near, "我住在東京タワーの近く", "So: who IS he? Nobody", "nothing here", None, ""]
+    bench = spark.createDataFrame([(1, chinese), (2, "東京タワー"), (3, "Who is he?"), (4, "?!"), (5, ""), (6, None), (7, "Who was he?")], "item_id long, text string")
+    rows = decontamination.find_leaks(make(spark, texts), bench).collect()
+    assert {(x["_id"], x.item_id, x.distance) for x in rows} == {(0, 1, 0), (1, 1, 1), (2, 2, 0), (3, 3, 0)}
+    for x in rows:
+        n, t = (decontamination.normal(y) for y in (bench.where(F.col("item_id") == x.item_id).first().text, texts[x["_id"]]))
+        assert distance(n, t[x.start : x.end]) == x.distance
+    assert {x.doc_id for x in decontamination.drop_leaks(make(spark, texts), bench).collect()} == {4, 5, 6}
+
+
 # --- secrets
 
 

@@ -1,7 +1,8 @@
 """Secret scans: base rules, and automata inferred from labelled credentials.
 
 Base spans come from three fixed patterns. Beside them, every run of at least MIN_RUN credential characters that
-no base span touches is a candidate. For each credential format a prefix tree of labelled examples is folded into a
+no base span touches is a candidate; of the other runs, and of those that are no secret as a whole, the parts are: what base spans
+leave, what follows a known opening, and what '=', '/' and '.' cut off, so that a name or a host before a secret doesn't hide it. For each credential format a prefix tree of labelled examples is folded into a
 probabilistic automaton by merging states whose outgoing frequencies agree within the Hoeffding bound (red-blue state
 merging). Strings are read as character classes, punctuation and the fixed opening of a format as themselves. A candidate is a secret if its
 likelihood under some format exceeds, per character, both a floor and its likelihood under the automaton inferred from labelled
@@ -25,8 +26,9 @@ import re
 import string
 from bisect import bisect_left
 from collections.abc import Callable
-from itertools import accumulate
+from itertools import accumulate, groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -209,8 +211,49 @@ class Model:
                 by_opening.setdefault(m[0] if m else "", []).append(w)
             for opening, words in by_opening.items():
                 self.formats.append((opening, Automaton([symbols(w[len(opening) :]) for w in words])))
+        self.opening = re.compile("(?=%s)" % "|".join(sorted({re.escape(o) for o, _ in self.formats if o})))
+        self.tables: tuple = ()
         self.harmless = Automaton([symbols(r.choice(HARMLESS)(r)) for _ in range(examples * 6)])
 
+    def secret_suffixes(self, run: str) -> np.ndarray:
+        """secret(run[i:]) of every i, in one pass from the end: the likelihood of the rest from every state."""
+        if not self.tables:
+            stops, moves, first = [], [], []
+            for a in (*(a for _, a in self.formats), self.harmless):
+                first.append(len(stops))
+                place = {0: len(stops)}  # only states that merging left
+                for s in (queue := [0]):
+                    stops.append(a.stop[s])
+                    for c, (p, t) in a.log[s].items():
+                        if t not in place:
+                            place[t] = first[-1] + len(queue)
+                            queue.append(t)
+                        moves.append((c, place[s], p, place[t]))
+            steps = {c: (np.full(len(stops), self.harmless.unseen), np.arange(len(stops))) for c in {"", *(c for c, *_ in moves)}}
+            for c, s, p, t in moves:
+                steps[c][0][s], steps[c][1][s] = p, t
+            self.tables = (np.array(first), np.array(stops), steps)
+        first, value, steps = self.tables
+        body = symbols(run.rstrip(".=-"))
+        n = len(body)
+        score = np.empty((n + 1, first.size))
+        score[n] = value[first]
+        for i in range(n - 1, -1, -1):
+            p, to = steps.get(body[i], steps[""])
+            value = p + value[to]
+            score[i] = value[first]
+        score /= np.arange(n + 1, 0, -1)[:, None]
+        best = np.full(n + 1, -np.inf)
+        for k, (o, _) in enumerate(self.formats):
+            at = np.array([m.start() for m in re.finditer(f"(?={re.escape(o)})", run[:n])] if o else np.arange(n), np.int64)
+            best[at] = np.maximum(best[at], score[at + len(o), k] + (len(o) > 0))
+        good = np.zeros(len(run), bool)
+        good[:n] = ((best > FLOOR) & (best > score[:, -1] + MARGIN))[:n]
+        for i in range(n - 1, -1, -1):  # what stands before is stripped
+            if run[i] in ".=-":
+                good[i] = i + 1 < n and good[i + 1]
+        return good
+
     def secret(self, run: str) -> bool:
         plain = run.strip(".=-") if run.strip(".=-") else run
         body = symbols(plain)
@@ -219,7 +262,7 @@ class Model:
 
 
 def spans(text: str, model: Model) -> tuple[list, list]:
-    """Base spans, and all spans, of a text."""
+    """Base spans, and these with the spans of whole runs, of a text."""
     base = base_spans(text)
     starts = [s for s, _, _ in base]
     reach = list(accumulate((e for *_, e in base), max))  # the furthest end so far
@@ -232,6 +275,51 @@ def spans(text: str, model: Model) -> tuple[list, list]:
     return base, sorted(base + more)
 
 
+CUTS = re.compile(r"[=/.]")
+FEW = 8  # more suffixes of one part than this are scored together
+
+
+def _parts(run: str, model: Model):
+    """(start, end) of the secrets that begin at an opening or after '=', '/' or '.', and end with the run or at a '=', at a
+    '/' too, or at a '.' too; those of openings and longer ones first."""
+    ends = [[m.start() for m in re.finditer(c, run)] + [len(run)] for c in ("=", "[=/]", "[=/.]")]
+    opened, cuts = [m.start() for m in model.opening.finditer(run)], [0, *(m.end() for m in CUTS.finditer(run))]
+    if model.secret(run):
+        yield 0, len(run)
+    for starts in (opened, cuts):
+        for e in ends:
+            for end, group in groupby(starts, lambda i: e[bisect_left(e, i)]):
+                group = [i for i in group if end - i >= MIN_RUN]
+                if len(group) > FEW:
+                    good = model.secret_suffixes(run[group[0] : end])
+                    yield from ((i, end) for i in group if good[i - group[0]])
+                else:
+                    yield from ((i, end) for i in group if model.secret(run[i:end]))
+
+
+def part_spans(text: str, found: list, model: Model) -> list:
+    """Spans, beside those found, of secrets that are parts of runs: no two overlap, and none overlaps one of those found."""
+    starts = [s for s, _, _ in found]
+    reach = list(accumulate((e for *_, e in found), max))
+    more = []
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        rests, before = [], bisect_left(starts, b)
+        at = a
+        for s, _, e in found[bisect_left(reach, a + 1) : before]:
+            rests.append((at, s))
+            at = max(at, e)
+        for s, e in (*rests, (at, b)):
+            if e - s < MIN_RUN:
+                continue
+            taken: list[tuple[int, int]] = []
+            for i, j in _parts(text[s:e], model):
+                if (s + i, s + j) != (a, b) and all(s + j <= x or y <= s + i for x, y in taken):
+                    taken.append((s + i, s + j))
+            more += [(i, 3, j) for i, j in taken]
+    return more
+
+
 def _joined(found: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 
@@ -248,6 +336,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
             cols: list[list] = [[] for _ in range(5)]
             for text in b.column(1).to_pylist():
                 base, every = spans(text or "", model)
+                every = sorted(every + part_spans(text or "", every, model))
                 kinds = [k for _, k, _ in base]
                 for col, x in zip(cols, (kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every))):
                     col.append(x)

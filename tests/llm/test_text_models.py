@@ -184,6 +184,30 @@ def test_format_spans_keep_off_base_spans():
         assert every == sorted(base + [(m.start(), 3, m.end()) for m in runs if model.secret(m[0])])
 
 
+def test_secrets_within_runs(spark):
+    model, r = secret_scan.Model(), random.Random(21)
+    forms = ["AWS_SECRET_ACCESS_KEY={secret key}", "STRIPE_KEY={payment key}", "AWS_ID={access key id}", "https://host.example.com/hook/{chat token}", "//host.example.com/{code host token}/file.html", "X_AUTH={web token}", "{code host token}/secret=abcdef"]
+    for form in forms:
+        name = form[form.index("{") + 1 : form.index("}")]
+        hit = 0
+        for i in range(50):
+            key = secret_scan.FORMATS[name](r)
+            text = "see " + form.replace("{" + name + "}", key) + " there"
+            at = text.index(key)
+            base, every = secret_scan.spans(text, model)
+            every = sorted(every + secret_scan.part_spans(text, every, model))
+            assert i or secret_scan.scan(make(spark, [text]), model).first().spans == secret_scan._joined(every)
+            hit += all(any(s <= j < e for s, _, e in every) for j in range(at, at + len(key)))
+            own = sorted((s, e) for s, k, e in every if k == 3)
+            assert all(e <= s for (_, e), (s, _) in zip(own, own[1:]))
+        assert hit > 40, (form, hit)
+    for _ in range(60):
+        run = "".join(r.choice(["=", "/", ".", "-", "name", "eyJ", "ghp_", *(f(r) for f in secret_scan.FORMATS.values())]) for _ in range(6))
+        assert model.secret_suffixes(run).tolist() == [model.secret(run[i:]) if run[i:].strip(".=-") else False for i in range(len(run))]
+    lost = [secret_scan.part_spans(t, [], model) for f in secret_scan.HARMLESS for _ in range(50) for t in [f"see NAME={f(r)} there"]]
+    assert np.mean([bool(x) for x in lost]) < 0.05
+
+
 def test_automata_tell_secrets_from_words():
     model, r = secret_scan.Model(), random.Random(77)
     for name, make_one in secret_scan.FORMATS.items():

@@ -248,6 +248,14 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_custom_elements_hide_nothing(spark):
+    long = "A sentence of main text with some words. " * 12
+    model = html_text.train()
+    page = '<html><head><title>T</title></head><body><article class="post"><h1>Title</h1>{}<p>' + long + "</p><p>Last one.</p></article></body></html>"
+    for tag in ('<svg-icon name="x"></svg-icon>', "<select-menu></select-menu>", "<template-part>", "<title-bar/>", "<head-line>", "<svg/>", '<svg class="a=b" hidden/>', "<svg\n/>", "<svg><title>no</title></svg>", "<svg width=1/>no</svg>"):
+        assert html_text.main_texts([page.format(tag)], model)[0] == f"Title {long.strip()} Last one.", tag
+
+
 def test_kept_nodes_have_kept_parents():
     r = np.random.default_rng(2)
     page = html_text.Page(html_text.generated_page(random.Random(5)))

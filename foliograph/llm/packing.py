@@ -3,8 +3,8 @@
 Every text is tokenised once; whole windows are cut off as sequences of their own and the rest, the tail, is packed with
 others. Tails are range-partitioned by a min-hash of their tokens, so that texts with the same words come near each other,
 and each partition is read in index shards of SHARD tails. A shard is a BM25 inverted index (document
-frequencies over all tails): each seed, longest first, is a query of its QUERY_TERMS heaviest terms, and its best
-unused neighbours fill its window, the last one cut to fit. What doesn't fill a window goes on to the next shard, so
+frequencies over all tails): each seed, longest first, is a query of all its terms, and its best
+unused neighbours in the shard fill its window, the last one cut to fit. What doesn't fill a window goes on to the next shard, so
 only the last window of a partition is padded.
 
 A task holds one shard at a time, whatever the size of its partition, and (min-hash, doc_id) splits any group of copies.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, materialize
 
-WINDOW, SHARD, QUERY_TERMS, END, K1, B = 1024, 2048, 32, 0, 1.2, 0.75
+WINDOW, SHARD, END, K1, B = 1024, 2048, 0, 1.2, 0.75
 TOKENIZER = "byte_bpe_50k.json"
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
 
@@ -103,14 +103,11 @@ class Shard:
         self.terms, first = np.unique(token[order], return_index=True)
         self.first, self.last = first, np.append(first[1:], token.size)
         self.forward = np.append(0, np.cumsum(widths))
-        self.token, self.own = token, weight
+        self.token = token
 
     def scores(self, seed: int) -> np.ndarray:
         a, b = self.forward[seed], self.forward[seed + 1]
-        token = self.token[a:b]
-        if token.size > QUERY_TERMS:
-            token = token[np.argpartition(-self.own[a:b], QUERY_TERMS)[:QUERY_TERMS]]
-        at = np.searchsorted(self.terms, token)
+        at = np.searchsorted(self.terms, self.token[a:b])
         spans = [slice(i, j) for i, j in zip(self.first[at].tolist(), self.last[at].tolist())]
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.sizes.size)
 

@@ -224,3 +224,13 @@ def test_packing_prefers_neighbours():
     shard = packing.Shard([topic[i] for i in order], np.ones(5000, np.float32), 256.0)
     for window in shard.windows(1024):
         assert len({order[i] // 4 for i, *_ in window}) == 1
+
+
+def test_packing_scores_by_all_terms():
+    r = np.random.default_rng(3)
+    tails, idf = [r.integers(0, 400, n) for n in (900, 300, 300, 20, 1)], r.random(400).astype(np.float32)
+    mean = float(np.mean([t.size for t in tails]))
+    shard = packing.Shard(tails, idf, mean)
+    for seed, own in enumerate(tails):
+        want = [sum(idf[w] * n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * t.size / mean)) for w in set(own.tolist()) if (n := int((t == w).sum()))) for t in tails]
+        assert np.allclose(shard.scores(seed), want, rtol=1e-4)

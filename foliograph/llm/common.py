@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where none is set (local runs)."""
+    """The folder all executors share, as the session names it. Where none is set, a temporary one in local runs; on a cluster that
+    is an error, as executors would write to disks of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -46,8 +48,3 @@ def carried(docs: DataFrame) -> DataFrame:
 
 def released(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
-
-
-def map_rows(df: DataFrame, work: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """mapInArrow over df; `work` maps an iterator of record batches to one of record batches."""
-    return df.mapInArrow(work, schema)

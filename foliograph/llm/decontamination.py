@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, map_rows
+from .batches import map_rows, slices
+from .common import carried
 
 OTHER = re.compile(r"[\W_]+")
 RATE, BLOCK_CHARS = 0.08, 4_000_000

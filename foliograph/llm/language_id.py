@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .batches import map_rows, slices
 
 TRAIN_DOCS, BITS, EPOCHS, CHAIN, SEED = 150, 16, 3, 512, 5
 WORD = re.compile(r"[^\W\d_]+")
@@ -230,7 +230,7 @@ def label(docs: DataFrame, field: Field) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def work(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             langs, scores = shared.value.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 

@@ -30,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .batches import map_rows
+from .common import materialize
 from .elias_fano import Trie
 
 BLOCK, SHARD, HOT, MASS = 2_000_000, 2_000_000, 1 / 1000, 4.0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import map_rows
+from .batches import map_rows, slices
 
 TRAIN_ROWS, THRESHOLD = 4000, 0.5
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> trees.T
     picked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))
 
     def work(batches):
-        for b in batches:
+        for b in slices(batches, 0):
             feats = [statistics(t)[1] for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(feats, pa.list_(pa.float64())), b.column(2)], names=["y", "x", "id"])
 
@@ -126,7 +126,7 @@ def judge(docs: DataFrame, model: trees.Trees, threshold: float = THRESHOLD) ->
     """doc_id, the statistics, base_failed and kept of every row."""
 
     def work(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             stats, failed, kept = _judged(model, b.column(1).to_pylist(), threshold)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in stats.T], pa.array(failed), pa.array(kept)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 
@@ -138,7 +138,7 @@ def keep_good(docs: DataFrame, model: trees.Trees, threshold: float = THRESHOLD)
     at = docs.columns.index("text")
 
     def work(batches):
-        for b in batches:
+        for b in slices(batches, at):
             yield b.filter(pa.array(_judged(model, [t and t.encode() for t in b.column(at).to_pylist()], threshold)[2]))
 
     return docs.mapInArrow(work, docs.schema)

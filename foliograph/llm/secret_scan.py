@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .batches import map_rows, slices
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -332,7 +332,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or Model()
 
     def work(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             cols: list[list] = [[] for _ in range(5)]
             for text in b.column(1).to_pylist():
                 base, every = spans(text or "", model)

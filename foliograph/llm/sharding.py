@@ -1,16 +1,19 @@
 """Uniform shuffle into shards of exact size, by a hypergeometric communication matrix, in DataFrame functions.
 
-Rows are dealt to blocks by a hash. The counts of the blocks (one number a block) reach the driver, which draws how
-many rows each block sends to each shard: a matrix with the blocks' counts as row sums and the exact shard
-sizes as column sums, each row from the multivariate hypergeometric law given what the shards still lack.
-A block ranks its rows by a seeded hash (the local permutation) and deals them out by its row of the matrix; a
-second seeded hash orders the rows inside their shard, ranked in sub-ranges whose counts are added up.
-
-Only the given columns travel, and what has been dealt is written once before slots are counted. Blocks and sub-ranges are 4 for each shuffle partition, so a task holds a share of
-the rows, never a shard. Same input, seed and partitions give the same result.
-
-Edge cases: null or empty texts are rows of size 1; equal rows are told apart only by count, so any of them may
-take either place; an empty table gives an empty result. Null doc_ids are ordinary rows.
+Every row gets a number, its input partition and its position there, and is written with it once; all that is random is a seeded
+hash of that number, so what a row holds has no part in where it goes. Rows are dealt to blocks by such a hash. The counts of the
+blocks (one number a block) reach the driver, which draws how many rows each block sends to each shard: a matrix with the blocks'
+counts as row sums and the exact shard sizes as column sums, each row from the multivariate hypergeometric law given what the
+shards still lack. A block ranks its rows by a second hash (the local permutation) and deals them out by its row of the matrix; a
+third orders the rows inside their shard, ranked in sub-ranges whose counts are added up.
+
+Only the given columns travel, and what has been dealt is written once before slots are counted. Blocks and sub-ranges are 4 for each
+shuffle partition, so a task holds a share of the rows, never a shard, however many rows are equal. Same input partitions, seed and
+shuffle partitions give the same result.
+
+Edge cases: null, empty and very long texts are rows like others, of size 1 the first two; equal rows and ties in any column are
+ordinary rows, told apart by their numbers; null doc_ids are ordinary rows; all columns are carried in `_row`, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -71,29 +74,30 @@ def communication_matrix(blocks: list[int], shards: int, seed: int) -> list[list
     return matrix
 
 
-def _uniform(seed: int, salt: str, cols: list[Column]) -> Column:
-    return F.xxhash64(F.lit(f"{salt}:{seed}"), *cols)
+def _uniform(seed: int, salt: str) -> Column:
+    return F.xxhash64(F.lit(f"{salt}:{seed}"), "_at")
 
 
 def shard_rows(rows: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     """All columns of rows as struct `_row`, with shard (int) and slot (long, gapless from 0 in a shard)."""
     spark = rows.sparkSession
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [rows[c] for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"]  # those that have a hash
-    base = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("_row"), F.pmod(_uniform(seed, "block", cols), F.lit(blocks)).cast("int").alias("_block"), _uniform(seed, "local", cols).alias("_local"), _uniform(seed, "final", cols).alias("_final"))
+    numbered = materialize(rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("_row"), F.monotonically_increasing_id().alias("_at")), "rows")
+    block = F.pmod(_uniform(seed, "block"), F.lit(blocks)).cast("int")
+    base = numbered.select("_row", block.alias("_block"), _uniform(seed, "local").alias("_local"), _uniform(seed, "final").alias("_final"), "_at")
     counts = dict(base.groupBy("_block").count().collect())
     held = [counts.get(b, 0) for b in range(blocks)]
     matrix = communication_matrix(held, shards, seed)
     bounds = [[sum(row[: j + 1]) for j in range(shards)] for row in matrix]
     dealt = F.broadcast(spark.createDataFrame([(b, *x) for b, x in enumerate(bounds)], "_block int, " + ", ".join(f"_c{j} long" for j in range(shards))))
-    ranked = base.withColumn("_rank", F.row_number().over(Window.partitionBy("_block").orderBy("_local", "_final")))
+    ranked = base.withColumn("_rank", F.row_number().over(Window.partitionBy("_block").orderBy("_local", "_at")))
     shard = F.lit(shards - 1)
     joined = ranked.join(dealt, "_block")
     for j in reversed(range(shards - 1)):
         shard = F.when(F.col("_rank") <= F.col(f"_c{j}"), F.lit(j)).otherwise(shard)
     sub = F.pmod(F.shiftrightunsigned("_final", 20), F.lit(blocks)).cast("int")
-    placed = materialize(joined.select("_row", "_final", "_local", shard.alias("shard"), sub.alias("_sub")), "placed")
-    inside = placed.withColumn("_n", F.row_number().over(Window.partitionBy("shard", "_sub").orderBy("_final", "_local")))
+    placed = materialize(joined.select("_row", "_final", "_at", shard.alias("shard"), sub.alias("_sub")), "placed")
+    inside = placed.withColumn("_n", F.row_number().over(Window.partitionBy("shard", "_sub").orderBy("_final", "_at")))
     # shards x sub-ranges numbers at most, whatever the input
     sizes = placed.groupBy("shard", "_sub").count()
     before = sizes.select(F.col("shard").alias("s_shard"), F.col("_sub").alias("s_sub"), (F.sum("count").over(Window.partitionBy("shard").orderBy("_sub")) - F.col("count")).alias("_before"))
@@ -105,7 +109,7 @@ def op10_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return shard_rows(materialize(rows, "rows")).select("_row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shard_rows(rows).select("_row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 ORACLE: dict[str, str] = {}

@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, map_rows, materialize
+from .batches import map_rows, slices
+from .common import carried, materialize
 
 WORDS, SEED, MAX_BITS, BLOCK = 3, 42, 3, 4096
 _CHUNK = 1 << 16
@@ -63,7 +64,7 @@ def fingerprint(raw: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
 
 def _fingerprint_batches(words: int, seed: int):
     def work(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             prints = [fingerprint(t, words, seed) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], names=["_id", "fp"])
 

@@ -170,6 +170,22 @@ def test_shards(spark, n):
     assert sharding.shard_rows(df.union(df)).count() == 2 * n
 
 
+def test_equal_rows_are_shuffled_uniformly(spark):
+    """Of 800 rows, 400 are equal in all columns; shards, and places inside them, are independent of content and of position."""
+    df = spark.createDataFrame([(7, "same") if i % 2 else (i, str(i)) for i in range(800)], "doc_id long, text string").repartition(3)
+    out = sharding.shard_rows(df).select("_row.text", "shard", "slot").collect()
+    same = np.array([r.text == "same" for r in sorted(out, key=lambda r: (r.shard, r.slot))]).reshape(8, 100)
+    assert (abs(same.sum(axis=1) - 50) < 20).all()  # 4 sigma of the hypergeometric law
+    assert (abs(same[:, :50].sum(axis=1) - same[:, 50:].sum(axis=1)) < 25).all()
+    assert ((same[:, 1:] != same[:, :-1]).sum(axis=1) > 30).all()  # about 50 changes, one for a stretch
+    # all seats of two equal rows and two others over many seeds
+    seats = Counter()
+    four = spark.createDataFrame([(1,), (1,), (2,), (3,)], "x int")
+    for seed in range(24):
+        seats.update((r.x, r.shard) for r in sharding.shard_rows(four, 2, seed).select("_row.x", "shard").collect())
+    assert abs(seats[1, 0] - 24) < 17 and abs(seats[2, 0] - 12) < 10 and abs(seats[3, 0] - 12) < 10
+
+
 def check_pieces(rows, texts):
     """rows: of texts by id; each id of a text lies in exactly one piece, sequences are gapless and of at most 1024."""
     from public_tokenizers import path
@@ -201,7 +217,7 @@ def check_pieces(rows, texts):
 def test_packing(spark):
     r = random.Random(2)
     words = ["".join(r.choices("abcdefghijklmnop", k=r.randrange(1, 8))) for _ in range(300)]
-    texts = dict(enumerate([" ".join(r.choices(words, k=r.choice([3, 40, 400, 3000]))) for _ in range(120)] + AWKWARD[:4] + ["Größe <|endoftext|> «ñ» 日本語 \r\n  x"]))
+    texts = dict(enumerate([" ".join(r.choices(words, k=r.choice([3, 40, 400, 3000]))) for _ in range(120)] + AWKWARD + ["Größe <|endoftext|> «ñ» 日本語 \r\n  x"]))
     rows = packing.pack(make(spark, list(texts.values())), shard=16).collect()
     sequences, tokens = check_pieces(rows, texts)
     assert sequences <= tokens / 1024 + 3  # a padded window for each partition at most
@@ -209,6 +225,12 @@ def test_packing(spark):
     assert all(zlib.crc32(p.ids) == p.ids_crc32 and len(p.ids) == 4 * p.length for p in with_ids)
 
 
+@pytest.mark.parametrize("run", [" ", "\t", "\n", " \n", "\u3000"])
+def test_packing_takes_long_white_space(spark, run):
+    texts = {0: "a" + run * 1_000_000 + "b", 1: run * 5000, 2: run * 4095 + "x"}
+    check_pieces(packing.pack(make(spark, list(texts.values()))).collect(), texts)
+
+
 def test_packing_awkward(spark):
     assert packing.pack(make(spark, [])).count() == 0
     rows = packing.pack(make(spark, ["a b"] * 5, [1, 1, 1, None, None]).withColumn("total", F.lit(1)).withColumn("key", F.lit("k"))).collect()

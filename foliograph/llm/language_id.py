@@ -5,16 +5,20 @@ features; the chain has learned transitions, so a code-switched text gets a labe
 posterior; a text's language is the one with the largest mean posterior over its words, and that mean is its score.
 
 The field learns from TRAIN_DOCS documents of each language at most (those first in a hash order of the doc_id), whole.
-Their words are cut into runs of random length and chained across languages, so that the transitions see switches. Scoring is a map over whole texts:
-chains of more than CHAIN words are cut, nothing is left out and nothing is shuffled.
-
-Edge cases: null texts and texts without a letter are `und` with score 0. Without training documents every text is `und`.
-A null doc_id is not held out and not learned from. Ties go to the language that sorts first.
+Their words are cut into runs of random length and chained across languages, so that the transitions see switches; of a language, documents
+after TRAIN_BYTES of text are left out of training. Scoring is a map over whole texts, and a text is one chain: long ones are worked
+on in pieces of PIECE words side by side, with exact messages between the pieces. Nothing is left out and nothing is shuffled.
+
+Edge cases: null texts and texts without a letter (category L) are `und` with score 0. Without training documents every text is
+`und`. A null doc_id is not held out and not learned from; rows that repeat or share a doc_id are scored one by one, and learned
+from once for each language. Ties go to the language that sorts first; an empty table gives an empty result; of other columns, whatever
+their names, none is read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from itertools import islice
 
 import numpy as np
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .batches import map_rows, slices
 
-TRAIN_DOCS, BITS, EPOCHS, CHAIN, SEED = 150, 16, 3, 512, 5
-WORD = re.compile(r"[^\W\d_]+")
+TRAIN_DOCS, TRAIN_BYTES, BITS, EPOCHS, PIECE, SEED = 150, 4_000_000, 16, 3, 512, 5
+#: Word characters that are neither letters nor decimals, such as fractions and Roman numerals.
+_NO_LETTERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{_NO_LETTERS}]+")
 _KNOWN_WORDS = 400_000
 
 
@@ -58,15 +64,16 @@ def features(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([o for o, _ in parts]), (hashed >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def marginals(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def marginals(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray, into: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
     """Posteriors of chains of the given lengths (longest first). emit: positive scores in time-major order, the
-    chains still running at each step first; trans: positive scores."""
+    chains still running at each step first; trans: positive scores. into, after: messages to the first element of each
+    chain and to its last one, if it is a piece of a longer chain."""
     if not emit.size:
         return emit
     active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
     at = np.append(0, np.cumsum(active))
-    alpha, back = np.empty_like(emit), np.ones((lengths.size, emit.shape[1]))
-    prior = np.ones((active[0], emit.shape[1]))
+    alpha, back = np.empty_like(emit), np.ones((lengths.size, emit.shape[1])) if after is None else after.copy()
+    prior = np.ones((active[0], emit.shape[1])) if into is None else into
     for t, n in enumerate(active):
         a = (prior[:n] @ trans if t else prior[:n]) * emit[at[t] : at[t + 1]]
         a /= a.sum(axis=1, keepdims=True)
@@ -80,6 +87,45 @@ def marginals(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.nd
     return alpha
 
 
+def chain_marginals(by_word: np.ndarray, trans: np.ndarray, counts: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Posteriors of chains of the given lengths, one after the other. Chains of several pieces get the messages between
+    these from each piece's transfer matrix, so the result is that of the whole chain."""
+    many, k = -(-counts // piece), by_word.shape[1]
+    first = np.append(0, np.cumsum(many))
+    sizes = np.full(first[-1], piece)
+    sizes[first[1:] - 1] = counts - (many - 1) * piece
+    order, place = time_major(sizes)
+    emit = np.empty_like(by_word)
+    emit[place] = by_word
+    into, after = np.ones((sizes.size, k)), np.ones((sizes.size, k))
+    long = np.flatnonzero(many > 1)
+    if long.size:
+        pieces = np.concatenate([np.arange(first[c], first[c + 1]) for c in long])
+        starts = np.append(0, np.cumsum(sizes))
+        transfer = np.broadcast_to(np.eye(k), (pieces.size, k, k)).copy()
+        for t in range(int(sizes[pieces].max())):
+            on = np.flatnonzero(sizes[pieces] > t)
+            step = transfer[on]
+            if t:
+                step = step @ trans
+            else:
+                step[~np.isin(pieces[on], first[long])] = trans  # the first word of a chain has no word before it
+            step = step * by_word[starts[pieces[on]] + t][:, None, :]
+            transfer[on] = step / step.max(axis=(1, 2), keepdims=True)
+        of = dict(zip(pieces.tolist(), transfer))
+        for c in long.tolist():
+            a, z = int(first[c]), int(first[c + 1])
+            end = of[a].sum(axis=0)
+            for p in range(a + 1, z):
+                into[p] = end @ trans
+                end = end @ of[p]
+                end /= end.max()
+            for p in range(z - 1, a, -1):
+                back = of[p] @ after[p]
+                after[p - 1] = back / back.max()
+    return marginals(emit, trans, sizes[order], into[order], after[order])[place]
+
+
 def time_major(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For concatenated chains: the order of the chains, longest first, and the place in time-major order of every element."""
     order = np.argsort(-lengths, kind="stable")
@@ -138,12 +184,7 @@ class Field:
 
     def _predict(self, held, labels, scores) -> None:
         counts = np.array([len(ws) for _, ws in held], np.int64)
-        chains = np.concatenate([np.append(np.full((n - 1) // CHAIN, CHAIN), (n - 1) % CHAIN + 1) for n in counts])
-        order, place = time_major(chains)
-        by_word = self.emissions([w for _, ws in held for w in ws])
-        emit = np.empty_like(by_word)
-        emit[place] = by_word
-        post = marginals(emit, np.exp(self.trans), chains[order])[place]
+        post = chain_marginals(self.emissions([w for _, ws in held for w in ws]), np.exp(self.trans), counts)
         mean = np.add.reduceat(post, np.append(0, np.cumsum(counts)[:-1])) / counts[:, None]
         for (i, _), m in zip(held, mean):
             best = int(m.argmax())
@@ -216,10 +257,13 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def train(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Field:
-    """Fit a field on the text and lang of at most per_lang documents of each language whose remainder mod 3 isn't 1."""
+    """Fit a field on the text and lang of at most per_lang documents of each language, those that begin in its first TRAIN_BYTES,
+    whose remainder mod 3 isn't 1."""
     learned = docs.where((remainder(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     best = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = learned.select("doc_id", "lang").withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_lang)
+    chosen = learned.select("doc_id", "lang", F.octet_length("text").cast("long").alias("size")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_lang)
+    so_far = F.sum("size").over(Window.partitionBy("lang").orderBy("r")) - F.col("size")
+    chosen = chosen.withColumn("before", so_far).where(F.col("before") < TRAIN_BYTES)
     chosen = chosen.select(F.col("doc_id").alias("c_id"), F.col("lang").alias("c_lang"))
     rows = learned.join(F.broadcast(chosen), (F.col("doc_id") == F.col("c_id")) & (F.col("lang") == F.col("c_lang"))).select("doc_id", "text", "lang").dropDuplicates(["doc_id", "lang"]).orderBy("doc_id", "lang").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])

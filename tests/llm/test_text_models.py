@@ -286,6 +286,19 @@ def test_marginals_and_order():
         at += n
 
 
+def test_pieces_of_a_chain_give_the_whole_chain():
+    r = np.random.default_rng(4)
+    counts = np.array([1, 7, 30, 4, 8, 9])
+    emit, trans = r.random((counts.sum(), 3)) ** 4 + 1e-6, r.random((3, 3)) + 0.01
+    whole = language_id.chain_marginals(emit, trans, counts, 1000)
+    for piece in (1, 2, 4, 7):
+        assert np.allclose(language_id.chain_marginals(emit, trans, counts, piece), whole)
+
+
+def test_only_letters_make_words():
+    assert language_id.words_of("½ Ⅷ ① ² x² été 日本 _a1") == ["x", "été", "日本", "a"]
+
+
 def language_docs(n):
     r = random.Random(3)
     sets = {"aa": ["tion", "the", "ing", "er"], "bb": ["ung", "sch", "ei", "der"], "cc": ["eau", "que", "ment", "le"]}

@@ -1,18 +1,23 @@
 """Secret scans: base rules, and automata inferred from labelled credentials.
 
-Base spans come from three fixed patterns. Beside them, every run of at least MIN_RUN credential characters that
-no base span touches is a candidate; of the other runs, and of those that are no secret as a whole, the parts are: what base spans
-leave, what follows a known opening, and what '=', '/' and '.' cut off, so that a name or a host before a secret doesn't hide it. For each credential format a prefix tree of labelled examples is folded into a
-probabilistic automaton by merging states whose outgoing frequencies agree within the Hoeffding bound (red-blue state
-merging). Strings are read as character classes, punctuation and the fixed opening of a format as themselves. A candidate is a secret if its
-likelihood under some format exceeds, per character, both a floor and its likelihood under the automaton inferred from labelled
-harmless strings by a margin.
+Base spans come from three fixed patterns. Beside them, every run of credential characters as long as the shortest labelled
+credential is a candidate, unless a base span touches it; of those, and of runs that are no secret as a whole, the parts are: what base
+spans leave, what follows a known opening, and what '=', '/' and '.' cut off, so that a name or a host before a secret doesn't hide it.
+
+For each credential format a prefix tree of labelled examples is folded into a probabilistic automaton by merging states whose
+outgoing frequencies agree within the Hoeffding bound (red-blue state merging). States are merged by character classes; within a
+state and a class each character has its own probability, so a fixed opening is part of the likelihood and needs no rule. One more
+automaton is inferred from labelled harmless strings. A candidate is a secret if it is as long as some example of a format,
+its log-likelihood under that format is within the range of the examples, per character, and above that under the harmless automaton by MARGIN, which lies above the ratio of
+all but one in a thousand harmless strings of words that the automaton hasn't seen.
 
 The examples are generated from the public shapes of credentials, EXAMPLES for each, with a fixed seed; nothing of the
 tables is learned. Texts are scanned whole in one pass and nothing is shuffled.
 
 Edge cases: a null or empty text has no spans; base_sha256 is then the hash of the empty string. Spans of different kinds may
-overlap, spans of one kind never do. Rows are scanned one by one, so repeats and null doc_ids need no care.
+overlap, spans of one kind never do. Very long texts and runs take time in proportion. Rows are scanned one by one, so rows that
+repeat, share a doc_id or have none need no care; equal likelihoods are no secret; an empty table gives an empty result; of other
+columns, whatever their names, none is read.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import random
 import re
 import string
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable
 from itertools import accumulate, groupby
 
@@ -39,10 +45,10 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-MIN_SECRET, MIN_RUN = 6, 16
+MIN_SECRET, MIN_RUN = 6, 20  # no labelled credential is shorter than MIN_RUN; Model holds it against the examples
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_RUN)
 
-EXAMPLES, ALPHA, FLOOR, MARGIN = 200, 0.05, -1.8, 0.15
+EXAMPLES, ALPHA, MARGIN, SLACK = 200, 0.05, 8.0, 0.25
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -64,7 +70,7 @@ ALNUM = string.ascii_letters + string.digits
 
 
 def _token(r: random.Random) -> str:
-    return base64.urlsafe_b64encode(json.dumps({"sub": _pick(r, string.digits, 8), "exp": r.randrange(10**9)}).encode()).decode().rstrip("=")
+    return base64.urlsafe_b64encode(json.dumps({"sub": _pick(r, string.digits, r.randrange(4, 12)), r.choice(["exp", "iat", "name"]): r.randrange(10**9)}).encode()).decode().rstrip("=")
 
 
 #: Public shapes of credentials: label -> generator.
@@ -75,33 +81,60 @@ FORMATS: dict[str, Callable[[random.Random], str]] = {
     "chat token": lambda r: r.choice(["xoxb-", "xoxp-"]) + _pick(r, string.digits, 12) + "-" + _pick(r, string.digits, 12) + "-" + _pick(r, ALNUM, 24),
     "maps key": lambda r: "AIza" + _pick(r, ALNUM + "-_", 35),
     "payment key": lambda r: r.choice(["sk_live_", "rk_live_", "sk_test_"]) + _pick(r, ALNUM, 24),
-    "web token": lambda r: "eyJhbGciOiJIUzI1NiJ9." + _token(r) + "." + _pick(r, ALNUM + "-_", 43),
+    "web token": lambda r: r.choice(["eyJhbGciOiJIUzI1NiJ9.", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.", "eyJ0eXAiOiJKV1QiLCJhbGciOiJSUzI1NiJ9."]) + _token(r) + "." + _pick(r, ALNUM + "-_", 43),
     "upper hex": lambda r: _pick(r, "0123456789ABCDEF", r.choice([32, 40, 64])),
     "random token": lambda r: _pick(r, ALNUM, r.randrange(24, 49)),
 }
 
 
-def _word(r: random.Random) -> str:
-    return "".join(r.choice(["the", "ing", "er", "an", "on", "st", "en", "tion", "ou", "le", "ch", "re", "ment", "es", "ly", "ber"]) for _ in range(r.randrange(1, 5)))
-
-
-#: Strings of the same characters that are no secrets.
-HARMLESS: list[Callable[[random.Random], str]] = [
-    lambda r: "".join(_word(r) for _ in range(5)),
-    lambda r: "".join(_word(r) for _ in range(5)).upper(),
-    lambda r: "-".join(_word(r) for _ in range(r.randrange(3, 7))),
-    lambda r: "_".join(_word(r) for _ in range(r.randrange(3, 7))),
-    lambda r: "".join(_word(r).capitalize() for _ in range(r.randrange(3, 7))),
-    lambda r: "/".join(_word(r) for _ in range(r.randrange(3, 7))) + r.choice(["", ".html", "/", "/index.php"]),
-    lambda r: ".".join(_word(r) for _ in range(3)) + r.choice([".com", ".org", ".example.net"]),
-    lambda r: "www." + _word(r) + ".com/" + _word(r) + "/" + str(r.randrange(10**6)),
-    lambda r: f"{r.randrange(1990, 2030)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}-{_word(r)}-{r.randrange(100)}",
-    lambda r: _pick(r, string.digits, r.randrange(16, 24)),
-    lambda r: r.choice("=-_.") * r.randrange(16, 60),
-    lambda r: f"{_word(r)}.{r.randrange(100)}-{_word(r)}{r.randrange(10)}.example.com",
+#: Common words of names, paths and prose in code and documents; every third one is kept for the margin, the others for the automaton.
+WORDS = (
+    "access account action address admin after agent alpha amount analysis android answer apple archive array article asset async auth author backup balance bank base "
+    "batch before block board body book border bottom branch browser buffer build button cache camera cancel catalog center change channel chapter check child city class "
+    "client cloud code color column command comment common company config connection content context control copy core count country create credit current custom data "
+    "database date debug default delete design detail device digital direct display document domain download driver edit email enable engine entry error event example "
+    "export factory feature field file filter final finish first folder font format forum frame free function gallery game general github global google graph group guide "
+    "handler header health height history home host house html icon image import index info input install issue java jquery just kernel key label language layer"
+).split()
+
+
+def _pseudo(r: random.Random) -> str:
+    """A word of letters in about their usual frequencies, consonants and vowels in turn."""
+    turn = r.randrange(2)
+    return "".join(r.choice("ttnnsshrrdllccmmffggppbbvvkwyjxqz" if (i + turn) % 2 else "eeeeaaaiiioooouuy") for i in range(r.randrange(2, 9)))
+
+
+def _word(r: random.Random, held_out: bool = False) -> str:
+    return _pseudo(r) if r.random() < 0.4 else r.choice([w for i, w in enumerate(WORDS) if (i % 3 == 0) == held_out])
+
+
+#: Strings of the same characters that are no secrets, from a source of words.
+HARMLESS: list[Callable[[random.Random, Callable[[], str]], str]] = [
+    lambda r, w: "".join(w() for _ in range(5)),
+    lambda r, w: "".join(w() for _ in range(4)).upper(),
+    lambda r, w: "-".join(w() for _ in range(r.randrange(3, 8))),
+    lambda r, w: "_".join(w() for _ in range(r.randrange(3, 8))),
+    lambda r, w: "_".join(w() for _ in range(r.randrange(3, 7))).upper(),
+    lambda r, w: "".join(w().capitalize() for _ in range(r.randrange(3, 8))),
+    lambda r, w: w() + "".join(w().capitalize() for _ in range(r.randrange(2, 8))),
+    lambda r, w: "/".join(w() for _ in range(r.randrange(3, 8))) + r.choice(["", ".html", "/", "/index.php", ".png", ".js"]),
+    lambda r, w: ".".join(w() for _ in range(r.randrange(3, 6))) + r.choice([".com", ".org", ".example.net", "", ""]),
+    lambda r, w: "www." + w() + ".com/" + w() + "/" + str(r.randrange(10**6)),
+    lambda r, w: f"{r.randrange(1990, 2030)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}-{w()}-{w()}-{r.randrange(100)}",
+    lambda r, w: _pick(r, string.digits, r.randrange(16, 64)),
+    lambda r, w: r.choice("=-_.") * r.randrange(16, 60),
+    lambda r, w: r.choice([*"019xXaAF", "01", "abc", "123"]) * r.randrange(16, 60),
+    lambda r, w: f"{w()}.{r.randrange(100)}-{w()}{r.randrange(10)}.example.com",
+    lambda r, w: f"{w()}_{w()}{r.randrange(10)}_{w()}v{r.randrange(10)}.{r.randrange(30)}.{r.randrange(9)}",
+    lambda r, w: "-".join(_pick(r, "0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+    lambda r, w: f"{w()}={w()}.{w()}/{w()}={r.randrange(1000)}",
 ]
 
 
+def harmless(r: random.Random, held_out: bool = False) -> str:
+    return r.choice(HARMLESS)(r, lambda: _word(r, held_out))
+
+
 # --- state merging
 
 
@@ -110,7 +143,10 @@ def symbols(text: str) -> str:
     return text.translate(_CLASSES)
 
 
-_CLASSES = str.maketrans("abcdefghijklmnopqrstuvwxyz" + string.ascii_uppercase + string.digits, "h" * 6 + "l" * 20 + "H" * 6 + "U" * 20 + "d" * 10)
+_CLASSES = str.maketrans(string.ascii_lowercase + string.ascii_uppercase + string.digits, "h" * 6 + "l" * 20 + "H" * 6 + "U" * 20 + "d" * 10)
+#: What a character's class holds, and the alphabet of credentials.
+MEMBERS = {"h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ", "d": string.digits} | {c: c for c in "+/_.=-"}
+PRIOR = 2.0  # what the frequencies of the whole automaton count beside those of a state
 
 
 class Automaton:
@@ -119,16 +155,19 @@ class Automaton:
     def __init__(self, words: list[str], alpha: float = ALPHA) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
+        self.chars: list[Counter] = [Counter()]
         self.ends, self.total = [0], [0]
         for w in words:
             s = 0
-            for c in w:
+            for char, c in zip(w, symbols(w)):
                 self.total[s] += 1
+                self.chars[s][char] += 1
                 self.count[s][c] = self.count[s].get(c, 0) + 1
                 if c not in self.next[s]:
                     self.next[s][c] = len(self.next)
                     self.next.append({})
                     self.count.append({})
+                    self.chars.append(Counter())
                     self.ends.append(0)
                     self.total.append(0)
                 s = self.next[s][c]
@@ -161,6 +200,7 @@ class Automaton:
             a, b = stack.pop()
             self.total[a] += self.total[b]
             self.ends[a] += self.ends[b]
+            self.chars[a].update(self.chars[b])
             for c, n in self.count[b].items():
                 self.count[a][c] = self.count[a].get(c, 0) + n
             for c, t in self.next[b].items():
@@ -183,43 +223,58 @@ class Automaton:
                     break
             else:
                 red.append(-t)
-        self.log = [{c: (math.log((n + 0.1) / (self.total[s] + 1.5)), self.next[s][c]) for c, n in self.count[s].items()} for s in range(len(self.next))]
-        self.stop = [math.log((self.ends[s] + 0.1) / (self.total[s] + 1.5)) for s in range(len(self.next))]
         self.states = len(red)
-        self.unseen = math.log(0.001)
+        self.log: list[dict[str, tuple[float, int]]] = [{} for _ in self.next]
+        every, size = Counter(), 1
+        for s in red:
+            every.update(self.chars[s])
+        size += sum(every.values())
+        for s in red:
+            for c, members in MEMBERS.items():
+                n, whole = self.count[s].get(c, 0), sum(every[x] for x in members)
+                p = math.log((n + PRIOR * (whole + 0.05) / size) / (self.total[s] + PRIOR))
+                for x in members:
+                    share = (every[x] + 0.5) / (whole + 0.5 * len(members))
+                    self.log[s][x] = p + math.log((self.chars[s][x] + PRIOR * share) / (n + PRIOR)), self.next[s].get(c, 0)
+        self.stop = [math.log((self.ends[s] + 0.1) / (self.total[s] + 1.5)) for s in range(len(self.next))]
 
     def score(self, word: str) -> float:
-        """Log-likelihood per symbol, the end counted as one; a symbol that the state never saw costs `unseen` and leaves the state."""
+        """Log-likelihood of the string and its end; a class that a state never saw leads to the first state."""
         s, total = 0, 0.0
         for c in word:
-            p, s = self.log[s].get(c, (self.unseen, s))
+            p, s = self.log[s][c]
             total += p
-        return (total + self.stop[s]) / (len(word) + 1)
+        return total + self.stop[s]
 
 
 class Model:
-    """One automaton for each format, with its common opening, and one for harmless strings."""
+    """One automaton for each format, with the least log-likelihood for each character that its examples have, and one for harmless strings."""
 
     def __init__(self, seed: int = 11, examples: int = EXAMPLES) -> None:
         r = random.Random(seed)
-        self.formats: list[tuple[str, Automaton]] = []
+        self.formats: list[tuple[int, float, Automaton]] = []  # the least length and likelihood of the examples
+        openings = set()
         for make in FORMATS.values():
-            by_opening: dict[str, list[str]] = {}
-            for _ in range(examples):
-                w = make(r)
-                m = re.match(r"AKIA|ASIA|AIza|gh[a-z]_|xox[a-z]-|[a-z]{2}_[a-z]{4}_|eyJ", w)
-                by_opening.setdefault(m[0] if m else "", []).append(w)
-            for opening, words in by_opening.items():
-                self.formats.append((opening, Automaton([symbols(w[len(opening) :]) for w in words])))
-        self.opening = re.compile("(?=%s)" % "|".join(sorted({re.escape(o) for o, _ in self.formats if o})))
+            words = [make(r) for _ in range(examples)]
+            assert min(map(len, words)) >= MIN_RUN
+            a = Automaton(words)
+            self.formats.append((min(map(len, words)), min(a.score(w) / (len(w) + 1) for w in words) - SLACK, a))
+            openings |= _openings(words)
+        self.opening = re.compile("(?=%s)" % "|".join(sorted(map(re.escape, openings), reverse=True)))
+        self.harmless = Automaton([harmless(r) for _ in range(examples * 15)])
         self.tables: tuple = ()
-        self.harmless = Automaton([symbols(r.choice(HARMLESS)(r)) for _ in range(examples * 6)])
+
+    def ratio(self, word: str) -> float:
+        """Log-likelihood under the best format whose examples are as unlikely, against that of a harmless string; minus infinity if there is none."""
+        scores = [(a.score(word), floor) for size, floor, a in self.formats if len(word) >= size]
+        best = max((x for x, floor in scores if x >= floor * (len(word) + 1)), default=-math.inf)
+        return best - self.harmless.score(word) if best > -math.inf else best
 
     def secret_suffixes(self, run: str) -> np.ndarray:
         """secret(run[i:]) of every i, in one pass from the end: the likelihood of the rest from every state."""
         if not self.tables:
             stops, moves, first = [], [], []
-            for a in (*(a for _, a in self.formats), self.harmless):
+            for a in (*(a for *_, a in self.formats), self.harmless):
                 first.append(len(stops))
                 place = {0: len(stops)}  # only states that merging left
                 for s in (queue := [0]):
@@ -229,36 +284,35 @@ class Model:
                             place[t] = first[-1] + len(queue)
                             queue.append(t)
                         moves.append((c, place[s], p, place[t]))
-            steps = {c: (np.full(len(stops), self.harmless.unseen), np.arange(len(stops))) for c in {"", *(c for c, *_ in moves)}}
+            steps = {c: (np.zeros(len(stops)), np.arange(len(stops))) for c in {c for c, *_ in moves}}
             for c, s, p, t in moves:
                 steps[c][0][s], steps[c][1][s] = p, t
-            self.tables = (np.array(first), np.array(stops), steps)
-        first, value, steps = self.tables
-        body = symbols(run.rstrip(".=-"))
+            self.tables = (np.array(first), np.array(stops), steps, np.array([floor for _, floor, _ in self.formats]), np.array([size for size, *_ in self.formats]))
+        first, value, steps, floors, sizes = self.tables
+        body = run.rstrip(".=-")
         n = len(body)
         score = np.empty((n + 1, first.size))
         score[n] = value[first]
         for i in range(n - 1, -1, -1):
-            p, to = steps.get(body[i], steps[""])
+            p, to = steps[body[i]]
             value = p + value[to]
             score[i] = value[first]
-        score /= np.arange(n + 1, 0, -1)[:, None]
-        best = np.full(n + 1, -np.inf)
-        for k, (o, _) in enumerate(self.formats):
-            at = np.array([m.start() for m in re.finditer(f"(?={re.escape(o)})", run[:n])] if o else np.arange(n), np.int64)
-            best[at] = np.maximum(best[at], score[at + len(o), k] + (len(o) > 0))
+        left = np.arange(n, -1, -1)[:, None]
+        best = np.where((score[:, :-1] >= floors * (left + 1)) & (left >= sizes), score[:, :-1], -np.inf).max(axis=1)
         good = np.zeros(len(run), bool)
-        good[:n] = ((best > FLOOR) & (best > score[:, -1] + MARGIN))[:n]
+        good[:n] = (best - score[:, -1] > MARGIN)[:n]
         for i in range(n - 1, -1, -1):  # what stands before is stripped
             if run[i] in ".=-":
                 good[i] = i + 1 < n and good[i + 1]
         return good
 
     def secret(self, run: str) -> bool:
-        plain = run.strip(".=-") if run.strip(".=-") else run
-        body = symbols(plain)
-        best = max(a.score(body[len(o) :]) + (len(o) > 0) for o, a in self.formats if plain.startswith(o))
-        return best > FLOOR and best > self.harmless.score(body) + MARGIN
+        return self.ratio(run.strip(".=-") or run) > MARGIN
+
+
+def _openings(words: list[str], share: float = 0.1, size: int = 3) -> set[str]:
+    """The strings of `size` characters that at least that share of the examples begin with."""
+    return {o for o, n in Counter(w[:size] for w in words).items() if n >= share * len(words)}
 
 
 def spans(text: str, model: Model) -> tuple[list, list]:

@@ -1,159 +1,247 @@
-"""Language-model scoring with a sharded Elias-Fano trie of word pairs.
-
-The model is P(w | u) = s(u, w) + b(u) P(w): s = c(u, w) / (c(u) + MASS) is stored as one byte on a logarithmic grid,
-b = MASS / (c(u) + MASS), and P(w) is the add-one unigram. All counts are over all training texts; the context of a
-first word is the end token.
-
-1. Texts become blocks of about BLOCK tokens, written to the shared folder: local word numbers and 64-bit hashes of the words.
-2. A block sends its distinct pairs, with their counts in training texts, to the shards, which are ranges of the context's
-   hash. Frequent contexts are cut over several shards by the successor's hash, so no shard holds a hot word whole.
-3. A shard adds up the counts, builds its trie in memory-mapped files and answers each block: one byte for a pair, and the
-   exact counts of its words.
-4. A block meets its answers and sums up its texts' scores.
-
-Shards grow in number with the tokens, so each is of bounded size; nothing of the model is broadcast or collected
-but N, V and the list of frequent contexts (at most 1 / HOT of them).
-
-Words are told apart by 64-bit hashes. Edge cases: a null or empty text is the end token alone; a null doc_id
-is not held out; repeated rows count each time; an empty table gives an empty result.
+"""Language-model scoring with sharded Elias-Fano tries of words, pairs and triples.
+
+The model backs off by interpolation: P(w | t, u) = s(t, u, w) + b(t, u) P(w | u), P(w | u) = s(u, w) + b(u) P(w), where
+s = c(context, w) / (c(context) + MASS), b = MASS / (c(context) + MASS), and P(w) is the add-one unigram. s is stored as one byte on
+a logarithmic grid, and the count of a pair as a context of triples is read back from that byte. All counts are over all training
+texts; two begin marks stand before a text.
+
+1. Texts become blocks of BLOCK tokens, written to the shared folder in buckets: word numbers of the block and 64-bit hashes of its
+   words. Long texts go on in the next block.
+2. For words, then pairs, then triples, a block asks: it sends its distinct n-grams, with their counts in training texts, to shards.
+   A shard adds up the counts, builds its level of the trie in memory-mapped files and answers by successor search relative to the
+   context: counts of words, numbers and codes of pairs, codes of triples. A word is known by its shard and place there, a pair by
+   its shard and place in that level, and in a triple the last word by its place among the successors of the middle word.
+3. A block meets the answers of all three levels and sums up its texts' scores.
+
+Contexts of more than SHARD / 2 tokens are cut over as many shards as their count asks for, which every block knows from the level
+before; so no list of frequent contexts is made, and a shard is of bounded size whatever a word's or pair's share. Shards grow in
+number with the tokens. Messages are at most one for each block and shard and never more than the n-grams in them. The blocks
+themselves are never shuffled (they are bucketed); nothing of the model is broadcast or collected but N and V.
+
+Words are told apart by 64-bit hashes. A task's temporary files are lost and built again with it.
+
+Edge cases: a null or empty text is the end token alone; very long texts are scored whole, over blocks; a null doc_id
+is not held out; rows that repeat or share a doc_id count each time and are scored one by one; an n-gram without training counts
+has code 0; of other columns, whatever their names, none is read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import tempfile
-import zlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_rows
-from .common import materialize
-from .elias_fano import Trie
+from .common import materialize, scratch_root
+from .elias_fano import EliasFano, Level
+
+BLOCK, SHARD, MASS = 1_000_000, 2_000_000, 4.0
+END, BEGIN = b"\n", b"\r"  # no word holds one
+LOW, LEVELS = -12.0, 254  # the grid of codes 1 to 255: log10 from LOW to 0
+
+BLOCKS = "block long, n_tokens long, docs binary, texts binary, lengths binary, flags binary, tokens binary, vocabulary binary"
+REQUESTS = "block long, shard int, context binary, width binary, total binary, word binary, seen binary"
+ANSWERS = "block long, shard int, place binary, begin binary, value binary, n long, v long"
 
-BLOCK, SHARD, HOT, MASS = 2_000_000, 2_000_000, 1 / 1000, 4.0
-END = b"\n"  # no word holds one
-LOW, LEVELS = -8.0, 254  # the grid of codes 1 to 255: log10 from LOW to 0
 
-BLOCKS = "block long, n_tokens long, docs binary, lengths binary, held binary, tokens binary, vocabulary binary, frequent array<struct<h:long,n:long>>"
-REQUESTS = "block long, shard int, context binary, total binary, width binary, word binary, seen binary"
-ANSWERS = "block long, shard int, counts binary, codes binary, n long, v long"
+def squeezed(raw) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(bytes(raw))
 
 
-def _pack(ids: np.ndarray) -> bytes:
-    """Three byte planes, deflated: most local numbers are small."""
-    return zlib.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes(), 1)
+def _pack(x: np.ndarray) -> bytes:
+    """Integers from 0 up in as many byte planes as the largest needs, compressed."""
+    planes = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + squeezed(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T))
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(3, -1).astype(np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<i8").ravel()
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=0))
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw))
+
 
+def _schema(text: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in text.split(", "))])
 
-def _block_batches():
+
+def _block_batches(limit: int):
     def work(batches):
         number = TaskContext.get().partitionId() << 32
-        known: dict[bytes, int] = {END: 0}
-        docs, lengths, held, parts, size = [], [], [], [], 0
+        text_number = number
+        known: dict[bytes, int] = {END: 0, BEGIN: 1}
+        held: dict[str, list] = {k: [] for k in ("docs", "texts", "lengths", "flags")}
+        parts, size = [], 0
 
         def flush():
-            nonlocal number, known, docs, lengths, held, parts, size
-            first = np.concatenate(parts)
-            count = np.bincount(first, minlength=len(known))
-            order = np.argsort(-count, kind="stable")  # frequent words get small numbers
+            nonlocal number, parts, size
+            tokens = np.concatenate(parts)
+            order = np.argsort(-np.bincount(tokens, minlength=len(known)), kind="stable")  # frequent words get small numbers
             local = np.empty_like(order)
             local[order] = np.arange(order.size)
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))[order]
-            often = [{"h": int(h), "n": int(n)} for h, n in zip(hashes.view(np.int64), count[order]) if n > HOT * size]
-            ids = np.array([d if d is not None else 0 for d in docs], np.int64)
-            null = np.array([d is None for d in docs], bool)
-            row = {"block": number, "n_tokens": size, "docs": ids.tobytes(), "lengths": np.array(lengths, np.int64).tobytes(), "held": (np.array(held, np.uint8) | null.astype(np.uint8) << 1).tobytes(), "tokens": _pack(local[first]), "vocabulary": hashes.tobytes(), "frequent": often}
-            schema = pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), *[(k, pa.binary()) for k in ("docs", "lengths", "held", "tokens", "vocabulary")], ("frequent", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))])
-            number, known, docs, lengths, held, parts, size = number + 1, {END: 0}, [], [], [], [], 0
-            return pa.RecordBatch.from_pylist([row], schema=schema)
-
+            row = {"block": number, "n_tokens": size, "docs": np.array(held["docs"], np.int64).tobytes(), "texts": np.array(held["texts"], np.int64).tobytes(), "lengths": np.array(held["lengths"], np.int64).tobytes(), "flags": bytes(held["flags"]), "tokens": _pack(local[tokens]), "vocabulary": hashes.tobytes()}
+            known.clear()
+            known.update({END: 0, BEGIN: 1})
+            for x in held.values():
+                x.clear()
+            number, parts, size = number + 1, [], 0
+            return pa.RecordBatch.from_pylist([row], schema=_schema(BLOCKS))
+
+        add = known.setdefault
         for b in batches:
-            for doc, text, out in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for i in range(b.num_rows):  # one text at a time
+                doc, text, out = (b.column(j)[i].as_py() for j in range(3))
                 words = (text or b"").lower().split()
-                add = known.setdefault
-                ids = [add(w, len(known)) for w in words]
-                ids.append(0)
-                parts.append(np.array(ids, np.int64))
-                docs.append(doc)
-                held.append(out)
-                lengths.append(len(ids))
-                size += len(ids)
-                if size >= BLOCK or len(docs) >= BLOCK // 8:
-                    yield flush()
-        if docs:
+                words.append(END)
+                at, lead = 0, [BEGIN, BEGIN]
+                while at < len(words):
+                    part = words[at : at + limit - size] if at or len(words) > limit - size else words
+                    parts.append(np.array([add(w, len(known)) for w in lead] + [add(w, len(known)) for w in part], np.int64))
+                    for k, x in (("docs", doc or 0), ("texts", text_number), ("lengths", len(part)), ("flags", bool(out) | (doc is None) << 1 | (not at) << 2)):
+                        held[k].append(x)
+                    at, size, lead = at + len(part), size + len(part), (lead + part[-2:])[-2:]
+                    if size >= limit or len(held["docs"]) >= limit // 8:
+                        yield flush()
+                text_number += 1
+        if parts:
             yield flush()
 
     return work
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(key, return_inverse=True)
+
+
 class Block:
-    """The distinct pairs of a block, sorted by the hashes of both words, and where each goes."""
+    """The distinct words, pairs and triples of a block, sorted by the hashes of their words, and the shards that they are asked of."""
 
-    def __init__(self, row: dict, shards: int, hot: dict[int, int]) -> None:
+    def __init__(self, row: dict, shards: int, size: int) -> None:
         i64 = lambda k: np.frombuffer(row[k], np.int64)
-        self.docs, self.lengths = i64("docs"), i64("lengths")
-        flags = np.frombuffer(row["held"], np.uint8)
-        self.held, self.null = (flags & 1).astype(bool), (flags & 2).astype(bool)
+        self.shards, self.size = shards, size
+        self.docs, self.texts, self.lengths = i64("docs"), i64("texts"), i64("lengths")
+        flags = np.frombuffer(row["flags"], np.uint8)
+        self.held, self.null, starts = ((flags & bit).astype(bool) for bit in (1, 2, 4))
         raw = np.frombuffer(row["vocabulary"], np.uint64)
         order = np.argsort(raw)
         rank = np.empty_like(order)
         rank[order] = np.arange(order.size)
-        self.hashes, end = raw[order], rank[np.flatnonzero(raw == np.uint64(xxhash.xxh64_intdigest(END)))[0]]
+        self.hashes = raw[order]
+        self.top = self.hashes >> np.uint64(32)
+        self.home = (self.top * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
         self.tokens = rank[_unpack(row["tokens"])]
-        before = np.append(end, self.tokens[:-1])
-        self.trained = ~np.repeat(self.held, self.lengths)
-        size = self.hashes.size
-        self.pair_key, self.pair_at = np.unique(before * size + self.tokens, return_inverse=True)
-        self.context, self.word = self.pair_key // size, self.pair_key % size
-        self.seen = np.bincount(self.pair_at[self.trained], minlength=self.pair_key.size)
-        self.total = np.bincount(self.tokens[self.trained], minlength=size)
-        # where the contexts and pairs go
-        top = self.hashes >> np.uint64(32)
-        home = (top * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-        cuts = np.ones(size, np.int64)
-        for h, r in hot.items():
-            i = np.searchsorted(self.hashes, np.uint64(h % 2**64))
-            if i < size and self.hashes[i] == np.uint64(h % 2**64):
-                cuts[i] = r
-        sub = (top[self.word] * cuts[self.context].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        self.pair_shard = (home[self.context] + sub) % shards
-        self.entry_context = np.repeat(np.arange(size), cuts)
-        step = np.arange(self.entry_context.size) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        self.entry_shard, self.entry_first = (home[self.entry_context] + step) % shards, step == 0
-        self.pair_order = np.lexsort((self.pair_key, self.pair_shard))
-        self.entry_order = np.lexsort((self.entry_context, self.entry_shard))
-        self.pair_cuts = np.searchsorted(self.pair_shard[self.pair_order], np.arange(shards + 1))
-        self.entry_cuts = np.searchsorted(self.entry_shard[self.entry_order], np.arange(shards + 1))
-
-    def request(self, shard: int) -> dict | None:
-        entries = self.entry_order[self.entry_cuts[shard] : self.entry_cuts[shard + 1]]
-        if not entries.size:
-            return None
-        pairs = self.pair_order[self.pair_cuts[shard] : self.pair_cuts[shard + 1]]
-        context = self.entry_context[entries]
-        width = np.bincount(np.searchsorted(context, self.context[pairs]), minlength=context.size)
-        total = self.total[context] << 1 | self.entry_first[entries]  # the last bit: this shard counts the word
-        return {"context": self.hashes[context].tobytes(), "total": total.astype("<u4").tobytes(), "width": width.astype("<u4").tobytes(), "word": self.hashes[self.word[pairs]].tobytes(), "seen": self.seen[pairs].astype("<u4").tobytes()}
-
-
-def _request_batches(shards: int, hot):
-    def work(batches):
-        for b in batches:
-            for row in (r for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
-                block = Block(row, shards, hot.value)
-                rows = [{"block": row["block"], "shard": s} | r for s in range(shards) if (r := block.request(s))]
-                schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), *[(k, pa.binary()) for k in ("context", "total", "width", "word", "seen")]])
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return work
+        first = np.cumsum(self.lengths + 2) - (self.lengths + 2)  # two words of context stand before each part of a text
+        self.valid = np.ones(self.tokens.size, bool)
+        self.valid[first] = self.valid[first + 1] = False
+        self.paired = np.ones(self.tokens.size, bool)
+        self.paired[first] = False
+        self.trained = np.repeat(~self.held, self.lengths + 2) & self.valid
+        self.opened = np.zeros(self.tokens.size, bool)  # the second begin mark of a training text, counted as a word there
+        self.opened[first[starts & ~self.held] + 1] = True
+        self.seen = np.bincount(self.tokens[self.trained | self.opened], minlength=raw.size)
+        self.width = raw.size
+
+    def words(self):
+        """Requests for words."""
+        cuts = np.searchsorted(self.home, np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[s], cuts[s + 1]
+            yield {"shard": s, "word": self.hashes[a:b].tobytes(), "seen": _pack(self.seen[a:b])}
+
+    def know_words(self, told: list[dict]) -> None:
+        self.count = np.concatenate([_unpack(r["value"]) for r in told])
+        if told[0].get("place") is not None:
+            places = [_unpack_sorted(r["place"]) for r in told]
+            self.id = np.zeros(self.width, np.int64)
+            self.id[self.count > 0] = np.concatenate([p | r["shard"] << 32 for p, r in zip(places, told)])
+
+    def make_pairs(self) -> None:
+        at = np.flatnonzero(self.paired)
+        key, self.pair_at = _distinct(self.tokens[at - 1] * self.width + self.tokens[at])
+        self.pair_seen = np.bincount(self.pair_at[(self.trained | self.opened)[at]], minlength=key.size)
+        self.before, self.after = key // self.width, key % self.width
+        self.pair_total = self.count[self.before]
+        cuts = np.minimum(self.shards, 1 + 2 * self.pair_total // self.size)
+        self.pair_part = (self.top[self.after] * cuts.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        self.pair_cuts = cuts
+        self.pair_shard = (self.home[self.before] + self.pair_part) % self.shards
+        asked = np.flatnonzero((self.pair_total > 0) & (self.count[self.after] > 0))
+        self.pair_order = asked[np.argsort(self.pair_shard[asked], kind="stable")]
+        self.valid_pair = self.valid[at]
+
+    def pairs(self):
+        """Requests for pairs, by the context's number."""
+        o = self.pair_order
+        yield from _requests(self.pair_shard[o], self.id[self.before[o]], self.pair_total[o], self.id[self.after[o]], self.pair_seen[o])
+
+    def know_pairs(self, told: list[dict]) -> None:
+        o = self.pair_order
+        self.pair_code = np.zeros(self.before.size, np.uint8)
+        if told:
+            self.pair_code[o] = np.concatenate([_codes(r["value"]) for r in told])
+        self.pair_count = np.where(self.pair_code > 0, np.maximum(1, np.rint(decode()[self.pair_code] * (self.pair_total + MASS))), 0).astype(np.int64)
+        if told and told[0].get("place") is not None:
+            found = self.pair_code[o] > 0
+            self.pair_id, self.pair_place = np.zeros((2, self.before.size), np.int64)
+            places = np.concatenate([_unpack_sorted(r["place"]) for r in told])
+            self.pair_id[o[found]] = places | self.pair_shard[o[found]] << 32
+            # every context of a message tells where its successors begin
+            change = np.append(True, (np.diff(self.before[o]) != 0) | (np.diff(self.pair_shard[o]) != 0))
+            begin = np.concatenate([_unpack_sorted(r["begin"]) for r in told])[np.cumsum(change) - 1]
+            self.pair_place[o[found]] = (places - begin[found]) * self.pair_cuts[o[found]] + self.pair_part[o[found]]
+
+    def make_triples(self) -> None:
+        at = np.flatnonzero(self.valid_pair)
+        key, self.triple_at = _distinct(self.pair_at[at - 1] * np.int64(self.width) + self.after[self.pair_at[at]])
+        self.triple_seen = np.bincount(self.triple_at[self.trained[self.valid]], minlength=key.size)
+        self.front, last = key // self.width, key % self.width
+        self.rear = np.empty(key.size, np.int64)
+        self.rear[self.triple_at] = self.pair_at[at]
+        count = self.pair_count[self.front]
+        part = (self.top[last] * np.minimum(self.shards, 1 + 2 * count // self.size).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        self.triple_shard = (self.pair_shard[self.front] + part) % self.shards
+        asked = np.flatnonzero((count > 0) & (self.pair_count[self.rear] > 0))
+        self.triple_order = asked[np.argsort(self.triple_shard[asked] * self.shards + self.pair_shard[self.front[asked]], kind="stable")]
+
+    def triples(self):
+        """Requests for triples, by the pair's number and the last word's place among the successors of the middle one."""
+        o = self.triple_order
+        yield from _requests(self.triple_shard[o], self.pair_id[self.front[o]], self.pair_count[self.front[o]], self.pair_place[self.rear[o]], self.triple_seen[o])
+
+    def know_triples(self, told: list[dict]) -> None:
+        self.triple_code = np.zeros(self.front.size, np.uint8)
+        if told:
+            self.triple_code[self.triple_order] = np.concatenate([_codes(r["value"]) for r in told])
+
+
+def _requests(shard, context, total, word, seen):
+    """Messages to the shards (sorted); the n-grams of a context follow one another."""
+    change = np.append(True, (np.diff(context) != 0) | (np.diff(shard) != 0)) if shard.size else np.zeros(0, bool)
+    some, at = np.unique(shard, return_index=True)
+    for s, a, b in zip(some.tolist(), at, np.append(at[1:], shard.size)):
+        heads = a + np.flatnonzero(change[a:b])
+        yield {"shard": s, "context": _pack_sorted(context[heads]), "width": _pack(np.diff(np.append(heads, b))), "total": _pack(total[heads]), "word": _pack(word[a:b]), "seen": _pack(seen[a:b])}
+
+
+def _codes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
 
 
 def encode(p: np.ndarray) -> np.ndarray:
@@ -167,80 +255,157 @@ def decode() -> np.ndarray:
     return p
 
 
-def answer_shard(requests: pa.Table) -> pa.Table:
-    """Build the shard's trie from all requests, then answer each of them from it."""
-    cols = {k: [np.frombuffer(x, d) for x in requests[k].to_pylist()] for k, d in (("context", "<u8"), ("total", "<u4"), ("width", "<u4"), ("word", "<u8"), ("seen", "<u4"))}
-    context, entry = np.unique(np.concatenate(cols["context"]), return_inverse=True)
-    both = np.concatenate(cols["total"]).astype(np.int64)
-    total = np.bincount(entry, both >> 1, context.size)
-    counts_here = np.bincount(entry, both & 1, context.size) > 0
-    words, word = np.unique(np.concatenate(cols["word"]), return_inverse=True)
-    owner = np.repeat(entry, np.concatenate(cols["width"]))
-    seen = np.concatenate(cols["seen"]).astype(np.int64)
-    trained = seen > 0
-    key, at = np.unique(owner[trained] * np.int64(max(1, words.size)) + word[trained], return_inverse=True)
-    count = np.bincount(at, seen[trained], key.size)
-    key_context, key_word = key // max(1, words.size), key % max(1, words.size)
-    n_here, v_here = int(total[counts_here].sum()), int((total[counts_here] > 0).sum())
-    out = {k: [] for k in ("block", "shard", "counts", "codes", "n", "v")}
+def _told(requests: pa.Table, rows: list[dict]) -> pa.Table:
+    shard = requests["shard"][0].as_py()
+    return pa.Table.from_pylist([{"shard": shard} | r for r in rows], schema=_schema(ANSWERS))
+
+
+def answer_words(requests: pa.Table) -> pa.Table:
+    """Count the words of a shard, then tell each block their counts and the places of those that have any."""
+    asked = [np.frombuffer(x, np.uint64) for x in requests["word"].to_pylist()]
+    words, at = _distinct(np.concatenate(asked))
+    count = np.bincount(at, np.concatenate([_unpack(x) for x in requests["seen"].to_pylist()]), words.size).astype(np.int64)
+    kept = words[count > 0]
+    real = count[words != np.uint64(xxhash.xxh64_intdigest(BEGIN))]
+    rows = [{"block": -1, "n": int(real.sum()), "v": int((real > 0).sum())}]
     with tempfile.TemporaryDirectory() as folder:
-        trie = Trie(folder, key_context, key_word, encode(count / (total[key_context] + MASS)), context.size, max(1, words.size))
-        e = p = 0
-        for block, ctx, wrd in zip(requests["block"].to_pylist(), cols["context"], cols["word"]):
-            codes = trie.find(owner[p : p + wrd.size], word[p : p + wrd.size])
-            for k, x in zip(out, (block, requests["shard"][0].as_py(), total[entry[e : e + ctx.size]].astype("<u8").tobytes(), zlib.compress(codes.tobytes(), 1), None, None)):
-                out[k].append(x)
-            e, p = e + ctx.size, p + wrd.size
-        del trie
-    for k, x in zip(out, (-1, requests["shard"][0].as_py(), None, None, n_here, v_here)):
-        out[k].append(x)
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    return pa.table([pa.array(x, k) for x, k in zip(out.values(), kinds)], names=list(out))
-
-
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def _scorer(shards: int, hot, n: int, v: int):
-    def score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        tables = []
-        for row in blocks.to_pylist():
-            block = Block(row, shards, hot.value)
-            count, code = np.zeros(block.hashes.size, np.int64), np.zeros(block.pair_key.size, np.uint8)
-            for shard, counts, codes in zip(*(answers[k].to_pylist() for k in ("shard", "counts", "codes"))):
-                entries = block.entry_order[block.entry_cuts[shard] : block.entry_cuts[shard + 1]]
-                count[block.entry_context[entries]] = np.frombuffer(counts, "<u8").astype(np.int64)
-                code[block.pair_order[block.pair_cuts[shard] : block.pair_cuts[shard + 1]]] = np.frombuffer(zlib.decompress(codes), np.uint8)
-            one = (count + 1) / (n + v + 1)
-            base, known = np.log10(one), count > 0
-            back = MASS / (count + MASS)
-            pair = np.log10(decode()[code] + back[block.context] * one[block.word])
-            starts = np.append(0, np.cumsum(block.lengths)[:-1])
-            sums = [np.add.reduceat(x, starts) for x in (known[block.tokens].astype(np.int64), base[block.tokens], pair[block.pair_at])]
-            cols = [pa.array(block.docs, mask=block.null), pa.array(block.held), pa.array(block.lengths), pa.array(sums[0]), pa.array(np.full(block.docs.size, n, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-            tables.append(pa.table(cols, names=[c.split()[0] for c in SCORES.split(", ")]))
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        return pa.concat_tables(tables) if tables else schema.empty_table()
+        level = EliasFano(folder, "words", kept, 2**64)
+        place = level.successor(words, np.zeros(words.size, np.int64), np.full(words.size, kept.size))[0]
+        for block, n, end in zip(requests["block"].to_pylist(), map(len, asked), np.cumsum([len(x) for x in asked]).tolist()):
+            own = at[end - n : end]
+            rows.append({"block": block, "place": _pack_sorted(place[own][count[own] > 0]), "value": _pack(count[own])})
+        del level
+    return _told(requests, rows)
+
+
+def _answer_level(places: bool):
+    def answer(requests: pa.Table) -> pa.Table:
+        """Build the shard's level from all requests, then answer each of them from it."""
+        cols = {k: [f(x) for x in requests[k].to_pylist()] for k, f in (("context", _unpack_sorted), ("width", _unpack), ("total", _unpack), ("word", _unpack), ("seen", _unpack))}
+        context, entry = _distinct(np.concatenate(cols["context"]))
+        total = np.zeros(context.size, np.int64)
+        total[entry] = np.concatenate(cols["total"])
+        word = np.concatenate(cols["word"])
+        if places:  # numbers of words are sparse; those of successors are places already
+            word = _distinct(word)[1]
+        size = int(word.max(initial=0)) + 1
+        key, at = _distinct(np.repeat(entry, np.concatenate(cols["width"])) * np.int64(size) + word)
+        count = np.bincount(at, np.concatenate(cols["seen"]), key.size)
+        owner, word = key // size, key % size
+        spans = np.zeros(context.size, np.int64)
+        spans[owner] = word + 1  # of the last in each context
+        kept = count > 0
+        rows, e, p = [], 0, 0
+        with tempfile.TemporaryDirectory() as folder:
+            level = Level(folder, owner[kept], word[kept], encode(count[kept] / (total[owner[kept]] + MASS)), spans)
+            place, code = level.find(owner, word)
+            begin = level.begin(np.arange(context.size))
+            for block, ctx, wrd in zip(requests["block"].to_pylist(), cols["context"], cols["word"]):
+                own = at[p : p + wrd.size]
+                row = {"block": block, "value": squeezed(code[own])}
+                if places:
+                    row |= {"place": _pack_sorted(place[own][code[own] > 0]), "begin": _pack_sorted(begin[entry[e : e + ctx.size]])}
+                rows.append(row)
+                e, p = e + ctx.size, p + wrd.size
+            del level
+        return _told(requests, rows)
+
+    return answer
+
+
+def _ask_words(shards: int, size: int):
+    def work(batches):
+        for b in batches:
+            for row in (r for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+                yield pa.RecordBatch.from_pylist([{"block": row["block"]} | r for r in Block(row, shards, size).words()], schema=_schema(REQUESTS))
+
+    return work
+
+
+def _informed(blocks: pa.Table, told: pa.Table, shards: int, size: int):
+    """The block of a group with what it has been told of each level so far."""
+    by_level: dict[int, list[dict]] = {}
+    for r in told.sort_by([("level", "ascending"), ("shard", "ascending")]).to_pylist():
+        by_level.setdefault(r["level"], []).append(r)
+    block = Block(blocks.to_pylist()[0], shards, size)
+    block.know_words(by_level[1])
+    block.make_pairs()
+    return block, by_level
+
+
+def _ask_pairs(shards: int, size: int):
+    def ask(blocks: pa.Table, told: pa.Table) -> pa.Table:
+        block, _ = _informed(blocks, told, shards, size)
+        return pa.Table.from_pylist([{"block": blocks["block"][0].as_py()} | r for r in block.pairs()], schema=_schema(REQUESTS))
+
+    return ask
+
+
+def _ask_triples(shards: int, size: int):
+    def ask(blocks: pa.Table, told: pa.Table) -> pa.Table:
+        block, by_level = _informed(blocks, told, shards, size)
+        rows = []
+        if 2 in by_level:
+            block.know_pairs(by_level[2])
+            block.make_triples()
+            rows = [{"block": blocks["block"][0].as_py()} | r for r in block.triples()]
+        return pa.Table.from_pylist(rows, schema=_schema(REQUESTS))
+
+    return ask
+
+
+SUMS = "text long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scorer(shards: int, size: int, n: int, v: int):
+    def score(blocks: pa.Table, told: pa.Table) -> pa.Table:
+        b, by_level = _informed(blocks, told, shards, size)
+        b.know_pairs(by_level.get(2, []))
+        b.make_triples()
+        b.know_triples(by_level.get(3, []))
+        one, p = (b.count + 1) / (n + v + 1), decode()
+        two = p[b.pair_code] + MASS / (b.pair_total + MASS) * one[b.after]
+        three = np.log10(p[b.triple_code] + MASS / (b.pair_count[b.front] + MASS) * two[b.rear])
+        tokens, starts = b.tokens[b.valid], np.append(0, np.cumsum(b.lengths)[:-1])
+        sums = [np.add.reduceat(x, starts) for x in ((b.count[tokens] > 0).astype(np.int64), np.log10(one)[tokens], three[b.triple_at])]
+        cols = [pa.array(b.texts), pa.array(b.docs, mask=b.null), pa.array(b.held), pa.array(b.lengths), *map(pa.array, sums)]
+        return pa.table(cols, schema=_schema(SUMS))
 
     return score
 
 
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df written to the shared folder in buckets of key, as a table of its own, so that grouping by key moves nothing."""
+    spark = df.sparkSession
+    name = f"foliograph_blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{scratch_root(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def score_texts(docs: DataFrame, held_out) -> DataFrame:
-    """SCORES of every row of docs, learning from the rows where the Column held_out is false."""
-    spark = docs.sparkSession
+    """Scores of every row of docs, learning from the rows where the Column held_out is false."""
     rows = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("binary").alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
-    blocks = materialize(map_rows(rows, _block_batches(), BLOCKS), "blocks")
-    tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(1, -(-tokens // SHARD))
-    often = blocks.select(F.explode("frequent").alias("f")).groupBy("f.h").agg(F.sum("f.n").alias("n")).where(F.col("n") > HOT * tokens)
-    cuts = {r["h"]: min(shards, 1 + 2 * shards * r["n"] // tokens) for r in often.collect()}  # at most 1 / HOT
-    hot = spark.sparkContext.broadcast({h: c for h, c in cuts.items() if c > 1})
-    asked = map_rows(blocks, _request_batches(shards, hot), REQUESTS)
-    answers = materialize(asked.groupBy("shard").applyInArrow(answer_shard, ANSWERS), "answers")
-    n, v = answers.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    told = answers.where("block >= 0").select("block", "shard", "counts", "codes")
-    whole = blocks.drop("n_tokens", "frequent")
-    return whole.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scorer(shards, hot, n, v), SCORES)
+    blocks = _bucketed(map_rows(rows, _block_batches(BLOCK), BLOCKS), "block")
+    shards, size = max(1, -(-(blocks.agg(F.sum("n_tokens")).first()[0] or 0) // SHARD)), SHARD
+    own = blocks.drop("n_tokens")
+
+    def meet(told: DataFrame, work, schema: str) -> DataFrame:
+        return own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(work, schema)
+
+    def level(answers: DataFrame, k: int, *columns: str) -> DataFrame:
+        told = [F.col(c) if c in columns else F.lit(None).cast("binary").alias(c) for c in ("place", "begin", "value")]
+        return answers.where("block >= 0").select("block", "shard", F.lit(k).alias("level"), *told)
+
+    words = materialize(map_rows(own, _ask_words(shards, size), REQUESTS).groupBy("shard").applyInArrow(answer_words, ANSWERS), "words")
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    counts = level(words, 1, "value")
+    pairs = materialize(meet(level(words, 1, "place", "value"), _ask_pairs(shards, size), REQUESTS).groupBy("shard").applyInArrow(_answer_level(True), ANSWERS), "pairs")
+    triples = materialize(meet(counts.unionByName(level(pairs, 2, "place", "begin", "value")), _ask_triples(shards, size), REQUESTS).groupBy("shard").applyInArrow(_answer_level(False), ANSWERS), "triples")
+    told = counts.unionByName(level(pairs, 2, "value")).unionByName(level(triples, 3, "value"))
+    parts = meet(told, _scorer(shards, size, n, v), SUMS)
+    whole = parts.groupBy("text").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliograph.llm import decontamination, html_text, language_id, lm_scoring, quality, secret_scan, trees
-from foliograph.llm.elias_fano import EliasFano, Trie
+from foliograph.llm.elias_fano import EliasFano, Level
 
 from .test_dedup_and_shards import ASCII_LOWER, AWKWARD, make
 
@@ -347,47 +347,85 @@ def test_code_switched_words():
 def test_elias_fano(tmp_path):
     for seed in range(40):
         r = np.random.default_rng(seed)
-        n, universe = int(r.integers(0, 300)), int(r.choice([10, 1000, 10**6, 10**12, 2**62]))
+        n, universe = int(r.integers(0, 2000)), int(r.choice([1, 10, 1000, 10**6, 10**12, 2**62]))
         v = np.sort(r.integers(0, universe, n)).astype(np.uint64)
         e = EliasFano(str(tmp_path), f"x{seed}", v, universe)
-        x = np.sort(np.concatenate([r.integers(0, universe, 50).astype(np.uint64), v[::3]]))
+        x = np.concatenate([r.integers(0, universe, 50).astype(np.uint64), v[::3]])
         i, equal = e.successor(x, np.zeros(x.size, np.int64), np.full(x.size, n))
         assert (e.get(np.arange(n)) == v).all() and (equal == np.isin(x, v)).all() and (v[i[equal]] == x[equal]).all()
+        least = n * (max(0, (universe // max(1, n)).bit_length() - 1) + 2)  # the bits that the code asks for
+        assert 8 * (e.low.nbytes + e.words.nbytes + e.ones.nbytes) <= 1.1 * least + 1500
 
 
-def test_trie(tmp_path):
+def test_level(tmp_path):
     r = np.random.default_rng(1)
-    key = np.unique(r.integers(0, 50 * 400, 900))
-    context, word, code = key // 400, key % 400, r.integers(1, 256, key.size).astype(np.uint8)
-    trie = Trie(str(tmp_path), context, word, code, 50, 400)
-    ask = np.arange(50 * 400)
+    spans = r.integers(1, 800, 50)
+    base = np.append(0, np.cumsum(spans))
+    key = np.unique(r.integers(0, base[-1], 900))
+    context = np.searchsorted(base, key, side="right") - 1
+    code = r.integers(1, 256, key.size).astype(np.uint8)
+    level = Level(str(tmp_path), context, key - base[context], code, spans)
+    ask = np.arange(base[-1])
+    owner = np.searchsorted(base, ask, side="right") - 1
     want = np.zeros(ask.size, np.uint8)
     want[key] = code
-    assert (trie.find(ask // 400, ask % 400) == want).all()
+    place, got = level.find(owner, ask - base[owner])
+    assert (got == want).all() and (place[key] == np.arange(key.size)).all()
+    assert (level.begin(np.arange(50)) == np.searchsorted(key, base[:-1])).all()
 
 
-@pytest.mark.parametrize("block,shard", [(2_000_000, 2_000_000), (300, 150)], ids=["one", "many"])
+def test_packed_integers():
+    for x in ([], [0], [5, 300, 2**40], list(range(1000))):
+        x = np.array(x, np.int64)
+        assert (lm_scoring._unpack(lm_scoring._pack(x)) == x).all() and (lm_scoring._unpack_sorted(lm_scoring._pack_sorted(np.sort(x))) == np.sort(x)).all()
+
+
+def brute_scores(tokens, train):
+    """{id: (n_known, base_score, score)} by plain counters."""
+    begin, grams = b"\r", Counter()
+    for i in train:
+        ts = [begin, begin, *tokens[i]]
+        grams.update([(b,) for b in tokens[i]] + list(zip(ts[1:], ts[2:])) + list(zip(ts, ts[1:], ts[2:])))
+    one = {g[0]: n for g, n in grams.items() if len(g) == 1}
+    n, v = sum(one.values()), len(one)
+    context = Counter()
+    for g, k in grams.items():
+        context[g[:-1]] += k
+    out = {}
+    for i, own in tokens.items():
+        ts, base, score = [begin, begin, *own], 0.0, 0.0
+        for t, u, w in zip(ts, ts[1:], ts[2:]):
+            p = p1 = (one.get(w, 0) + 1) / (n + v + 1)
+            for g in ((u, w), (t, u, w)):
+                p = (grams[g] + lm_scoring.MASS * p) / (context[g[:-1]] + lm_scoring.MASS)
+            base, score = base + math.log10(p1), score + math.log10(p)
+        out[i] = sum(w in one for w in own), base, score
+    return out, n
+
+
+@pytest.mark.parametrize("block,shard", [(2_000_000, 2_000_000), (300, 150), (7, 40)], ids=["one", "many", "tiny"])
 def test_scores(spark, monkeypatch, block, shard):
     monkeypatch.setattr(lm_scoring, "BLOCK", block)
     monkeypatch.setattr(lm_scoring, "SHARD", shard)
     r = random.Random(4)
     words = ["the", "The"] * 40 + [f"w{i}" for i in range(80)]
-    texts = [" ".join(r.choices(words, k=r.randrange(0, 30))) for _ in range(150)] + [t for t in AWKWARD if not t or len(t) < 10_000]
+    texts = [" ".join(r.choices(words, k=r.randrange(0, 30))) for _ in range(150 if block > 7 else 20)] + [t for t in AWKWARD if not t or len(t) < 10_000]
+    texts += texts[5:9] + ["of the first " * (900 if block > 7 else 12)]
     df = make(spark, texts).withColumn("score", F.lit("clash"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    got = {x.doc_id: x for x in lm_scoring.score_texts(df, held).collect()}
+    rows = lm_scoring.score_texts(df, held).collect()
+    got = {x.doc_id: x for x in rows}
     tokens = {i: [*(t or "").translate(ASCII_LOWER).encode().split(), b"\n"] for i, t in enumerate(texts)}
     train = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2}
-    one, two = Counter(), Counter()
-    for i in train:
-        one.update(tokens[i])
-        two.update(zip([b"\n"] + tokens[i], tokens[i]))
-    n, v = sum(one.values()), len(one)
-    assert set(got) == set(tokens)
+    want, n = brute_scores(tokens, train)
+    assert set(got) == set(tokens) and len(rows) == len(texts)
     for i, ts in tokens.items():
         x = got[i]
-        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (i not in train, len(ts), sum(one[w] > 0 for w in ts), n)
-        assert x.base_score == pytest.approx(sum(math.log10((one[w] + 1) / (n + v + 1)) for w in ts))
-        p = [(two[a, b] + lm_scoring.MASS * (one[b] + 1) / (n + v + 1)) / (one[a] + lm_scoring.MASS) for a, b in zip([b"\n"] + ts, ts)]
-        assert x.score == pytest.approx(sum(map(math.log10, p)), abs=0.02 * len(ts))
+        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (i not in train, len(ts), want[i][0], n)
+        assert x.base_score == pytest.approx(want[i][1])
+        assert x.score == pytest.approx(want[i][2], abs=0.05 * len(ts))
+    repeated = spark.createDataFrame([(None, "a b a b"), (None, "a b a b"), (3, "a b a b"), (3, None)], "doc_id long, text string")
+    same = lm_scoring.score_texts(repeated, held).collect()
+    assert sorted((x.doc_id or 0, x.n_tokens, x.held_out) for x in same) == [(0, 5, False), (0, 5, False), (3, 1, False), (3, 5, False)]
+    assert len({round(x.score, 9) for x in same if x.n_tokens == 5}) == 1
     assert lm_scoring.score_texts(df.limit(0), held).count() == 0

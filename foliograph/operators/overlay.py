@@ -12,12 +12,12 @@ TABLE_REQUIRED = ("article", "pages", "cols", "header_rows", "rows", "regions")
 
 def merge(base: DataFrame, overlay: DataFrame, key: str, fields: list[str], constant: dict[str, Column] | None = None, defaults: dict[str, Column] | None = None, required: list[str] | None = None) -> DataFrame:
     """Full outer merge on key. Non-null overlay values win in `fields`; `constant` is set on every corrected row; a key that base lacks
-    becomes a row of overlay values and `defaults`, and fails with the missing field's name if a required one is null."""
+    becomes a row of overlay values and `defaults`, and fails with the missing field's name if a required one is null or no column of overlay."""
     constant, defaults = constant or {}, defaults or {}
     o = overlay.select(*[F.col(c).alias("o_" + c) for c in overlay.columns])
     joined = base.withColumn("_base", F.lit(True)).join(o, F.col(key) == F.col("o_" + key), "full_outer")
     new, touched = F.col("_base").isNull(), F.col("o_" + key).isNotNull()
-    missing = F.array_compact(F.array(*[F.when(F.col("o_" + c).isNull(), F.lit(c)) for c in required or []])) if required else F.array().cast("array<string>")
+    missing = F.array_compact(F.array(*[F.when(F.col("o_" + c).isNull(), F.lit(c)) if c in overlay.columns else F.lit(c) for c in required or []])) if required else F.array().cast("array<string>")
     fail = F.when(new & (F.size(missing) > 0), F.raise_error(F.concat(F.lit("cannot insert "), F.col("o_" + key).cast("string"), F.lit(": missing "), F.array_join(missing, ", "))).cast("string"))
 
     def value(c: str) -> Column:
@@ -39,4 +39,4 @@ def correct_tables(tables: DataFrame, overlay: DataFrame) -> DataFrame:
     defaults = {"sin_numero": title.isNull() | (title == ""), "informativa": F.lit(False), "page": F.col("o_pages")[0], "intro": F.lit(""), "grid": F.lit("dibujada"), "notes": F.array().cast("array<string>"), "encabezado_dudoso": F.lit(False), "verificada": F.col("o_verificada")}
     defaults = {k: v for k, v in defaults.items() if k in tables.columns}
     constant = {"quality": F.lit(1.0), "verificada": F.col("o_verificada")}
-    return merge(tables, o, "id", list(TABLE_FIELDS), {k: v for k, v in constant.items() if k in tables.columns}, defaults, [c for c in TABLE_REQUIRED if c in overlay.columns])
+    return merge(tables, o, "id", list(TABLE_FIELDS), {k: v for k, v in constant.items() if k in tables.columns}, defaults, list(TABLE_REQUIRED))

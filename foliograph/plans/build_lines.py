@@ -1,4 +1,4 @@
-"""The line stream of one document from its pages, and the whole way from pages to published collections."""
+"""The line stream of documents from their pages, and the whole way from pages to published collections."""
 
 from __future__ import annotations
 
@@ -35,7 +35,7 @@ def image_marks(placements: DataFrame) -> DataFrame:
 
 
 def build_lines(pages: DataFrame, target: str, regions: DataFrame | None = None, tables: DataFrame | None = None, images: DataFrame | None = None, body_page: int = 9) -> tuple[DataFrame, DataFrame]:
-    """(lines, toc) of one document, written below target as `build` reads them, with `chapters` and `titles` beside them.
+    """(lines, toc) of the documents, written below target as `build` reads them, with `chapters` and `titles` beside them.
 
     pages: doc_id, page, text and, where positions are known, blocks. regions, tables: as `build_tables` returns them. images: marks.
     Lines inside a table's region are left out, and a mark stands where each table and image starts. Only listed articles
@@ -51,7 +51,7 @@ def build_lines(pages: DataFrame, target: str, regions: DataFrame | None = None,
     marks = []
     if regions is not None and tables is not None:
         text = L.outside_zones(text, regions)
-        marks.append(table_marks(regions, tables).join(pages.select("page", "doc_id"), "page"))
+        marks.append(table_marks(regions, tables))
     if images is not None:
         marks.append(images)
     stream = kept(L.merge_stream(text, *marks), "stream")

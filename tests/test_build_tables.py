@@ -32,7 +32,7 @@ def test_tables_from_geometry(spark, tmp_path):
     assert (t.id, t.title, t.article, t.pages, t.cols, t.header_rows, t.quality, t.grid, t.notes) == ("310-15", "Ampacidades permisibles de conductores", 310, [12, 13], 2, 1, 1.0, "rejilla", ["* Solo cobre"])
     assert [[c.t for c in r] for r in t["rows"]] == [["Tipo", "Valor"], ["alto", "5"], ["medio", "6"], ["bajo", "7"], ["nulo", "0"]]
     assert [(r.page, r.y0, r.y1) for r in regions.collect()] == [(12, 690.0, 770.0), (13, 20.0, 114.0)]
-    mark = table_marks(regions, spark.createDataFrame([("310-15", 310)], "id string, article int")).first()
+    mark = table_marks(regions, spark.createDataFrame([("", "310-15", 310)], "doc_id string, id string, article int")).first()
     assert (mark.page, mark.kind, mark.ref) == (12, "tbl", "310|310-15")
 
 

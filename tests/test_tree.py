@@ -108,9 +108,9 @@ def test_contents_and_article_starts(spark):
 
 
 def test_zones_keep_marks_and_headings(spark):
-    lines = spark.createDataFrame([(1, 10.0, "text", "celda"), (1, 11.0, "text", "110-3. Título"), (1, 12.0, "tbl", "x"), (2, 10.0, "text", "fuera")], "page int, y double, kind string, text string")
-    zones = spark.createDataFrame([(1, 5.0, 20.0)], "page int, y0 double, y1 double")
-    assert sorted(r.text for r in L.outside_zones(lines, zones).collect()) == ["110-3. Título", "fuera", "x"]
+    lines = spark.createDataFrame([("d", 1, 10.0, "text", "celda"), ("d", 1, 11.0, "text", "110-3. Título"), ("d", 1, 12.0, "tbl", "x"), ("d", 2, 10.0, "text", "fuera"), ("e", 1, 10.0, "text", "otro")], "doc_id string, page int, y double, kind string, text string")
+    zones = spark.createDataFrame([("d", 1, 5.0, 20.0)], "doc_id string, page int, y0 double, y1 double")
+    assert sorted(r.text for r in L.outside_zones(lines, zones).collect()) == ["110-3. Título", "fuera", "otro", "x"]
 
 
 def test_stream_order(spark):

@@ -18,7 +18,6 @@ their names, none is read.
 from __future__ import annotations
 
 import re
-import sys
 from itertools import islice
 
 import numpy as np
@@ -29,15 +28,16 @@ from pyspark.sql import functions as F
 from .batches import map_rows, slices
 
 TRAIN_DOCS, TRAIN_BYTES, BITS, EPOCHS, PIECE, SEED = 150, 4_000_000, 16, 3, 512, 5
-#: Word characters that are neither letters nor decimals, such as fractions and Roman numerals.
-_NO_LETTERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{_NO_LETTERS}]+")
+WORD = re.compile(r"[^\W\d_]+")
 _KNOWN_WORDS = 400_000
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text: runs of letters, in lower case."""
-    return WORD.findall(text.lower())
+    """The words of a text: runs of letters, in lower case. Fractions, Roman numerals and the like are no letters."""
+    words = WORD.findall(text.lower())
+    if not all(map(str.isalpha, words)):
+        words = " ".join("".join(c if c.isalpha() else " " for c in w) for w in words).split()
+    return words
 
 
 def features(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -101,17 +101,18 @@ def chain_marginals(by_word: np.ndarray, trans: np.ndarray, counts: np.ndarray,
     long = np.flatnonzero(many > 1)
     if long.size:
         pieces = np.concatenate([np.arange(first[c], first[c + 1]) for c in long])
-        starts = np.append(0, np.cumsum(sizes))
-        transfer = np.broadcast_to(np.eye(k), (pieces.size, k, k)).copy()
-        for t in range(int(sizes[pieces].max())):
-            on = np.flatnonzero(sizes[pieces] > t)
-            step = transfer[on]
+        pieces = pieces[np.argsort(-sizes[pieces], kind="stable")]  # longest first, so that those still running are a head of the array
+        starts = np.append(0, np.cumsum(sizes))[pieces]
+        running = np.searchsorted(-sizes[pieces], -np.arange(1, sizes[pieces[0]] + 1), side="right")
+        transfer = np.tile(trans, (pieces.size, 1, 1))
+        transfer[np.isin(pieces, first[long])] = np.eye(k)  # the first word of a chain has no word before it
+        for t, n in enumerate(running):
+            step = transfer[:n]
             if t:
-                step = step @ trans
-            else:
-                step[~np.isin(pieces[on], first[long])] = trans  # the first word of a chain has no word before it
-            step = step * by_word[starts[pieces[on]] + t][:, None, :]
-            transfer[on] = step / step.max(axis=(1, 2), keepdims=True)
+                step = (step.reshape(n * k, k) @ trans).reshape(n, k, k)
+            np.multiply(step, by_word[starts[:n] + t][:, None, :], out=transfer[:n])
+            if t % 8 == 7:
+                transfer[:n] /= transfer[:n].max(axis=(1, 2), keepdims=True)
         of = dict(zip(pieces.tolist(), transfer))
         for c in long.tolist():
             a, z = int(first[c]), int(first[c + 1])

@@ -1,14 +1,18 @@
 """Quality, decontamination, secrets, html, language and language model against plain versions, held-out accuracy and awkward tables."""
 
+import functools
 import hashlib
+import html
 import itertools
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,13 +240,56 @@ def test_merged_automaton_is_a_distribution():
 # --- html
 
 
+@functools.cache
+def html_model():
+    return html_text.train()
+
+
 def test_generated_pages_held_out():
-    model, r, right = html_text.train(), random.Random(123), 0
+    model, r, right = html_model(), random.Random(123), 0
     for _ in range(80):
         source = html_text.generated_page(r)
         page = html_text.Page(source)
-        right += page.text(np.array(page.main)) == html_text.main_texts([source.replace(" data-main", "")], model)[0]
-    assert right >= 74
+        right += page.text(np.array(page.main)) == html_text.main_texts([source.replace(" data-main", "").replace(" data-noise", "")], model)[0]
+    assert right >= 64
+
+
+S = "The committee met on Tuesday, after weeks of delay, and agreed on most points. "  # 1
+T = "Prices of copper rose again, although demand in the south stayed flat. "
+LAYOUTS = {
+    "news with everything around": (
+        '<html><head><title>x</title></head><body><div id="cookie-consent">We use cookies to improve your visit. <button>OK</button></div><header><a href="/">The Daily</a></header><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">World</a></li></ul></nav>'
+        f'<main><article><h1>Copper deal</h1><p>{S * 3}</p><aside class="related"><h3>More</h3><ul><li><a href="/c">Old news</a></li></ul></aside><p>{T * 3}</p></article></main><footer>&copy; 2024 The Daily</footer></body></html>',
+        f"Copper deal {S * 3}{T * 3}",
+    ),
+    "blog in plain divs": (f'<body><div class="navbar"><a href="/">Home</a> | <a href="/about">About</a></div><div class="post"><h2>My week</h2><div>{S * 2}</div><div>{T * 2}</div></div><div class="sidebar"><h3>Archive</h3><a href="/1">May</a> <a href="/2">June</a></div></body>', f"My week {S * 2}{T * 2}"),
+    "inline marks within words": (f'<article><p>{S}un<em>break</em>able, foo<span class="more">bar</span>baz and a<wbr>b and x<img src=i.png>y.</p></article>', f"{S}unbreakable, foobarbaz and ab and xy."),
+    "nested advert spans": (f"<article><p>{S * 3}<span class='ad'><span>Now</span> buy now</span> after.</p></article>", f"{S * 3}after."),
+    "article about comments": (f"<body><nav><a href=/>Home</a></nav><article class='comment-piece'><h1>On comments</h1><p>{S * 6}</p><p>{T * 4}</p></article><section class='responses'><h2>Responses</h2><div class='response'><p>Nice one!</p></div><div class='response'><p>I do not agree.</p></div></section></body>", f"On comments {S * 6}{T * 4}"),
+    "table for the layout": (f"<table><tr><td><ul><li><a href=/a>Menu</a></li><li><a href=/b>Other</a></li></ul></td><td><h1>Title</h1><p>{S * 3}<a href=/x>one link</a> and <a href=/y>another</a> here.</p><p>{T * 3}</p></td></tr></table>", f"Title {S * 3}one link and another here. {T * 3}"),
+    "unclosed elements": (f"<body><ul class=menu><li><a href=/a>A</a><li><a href=/b>B</a></ul><article><h1>One</h1><p>{S * 2}<p>{T * 2}<ul><li>first thing<li>second thing</ul></article>", f"One {S * 2}{T * 2}first thing second thing"),
+    "no markup at all": (f"{S * 2}\n{T}", f"{S * 2}{T}"),
+    "references and white space": (f"<article><h1>A &amp; B</h1><p>{S * 2} caf&eacute;&nbsp;&#8364;5\n\t x</p><pre>{T}</pre></article>", f"A & B {S * 2}caf\u00e9\u00a0\u20ac5 x {T}"),
+    "forms and scripts": (f'<body><form class="search"><label>Search the site</label><input><button>Go</button></form><main><h1>Notes</h1><p>{S * 3}</p><script>var x = "<p>no</p>";</script><p>{T * 2}</p></main><div class="newsletter"><p>Subscribe to our letter!</p><form><input><button>Join</button></form></div><footer><p>All rights reserved.</p></footer></body>', f"Notes {S * 3}{T * 2}"),
+    "custom elements": (f'<body><site-nav><nav><a href="/">Home</a></nav></site-nav><article><svg-icon name="x"></svg-icon><h1>Icons</h1><p>{S * 3}</p></article></body>', f"Icons {S * 3}"),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    """Pages written by hand in layouts that the generator doesn't make."""
+    source, want = LAYOUTS[name]
+    assert html_text.main_texts([source], html_model())[0] == want.strip()
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/pages.parquet"), reason="needs the driver's tables")
+def test_driver_pages():
+    """The article of every page of sf0.1, read by a plain expression."""
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet")["html"].to_pylist()
+    for source, got in zip(pages, html_text.main_texts(pages, html_model())):
+        article = re.search("<article>(.*)</article>", source, re.S)[1]
+        text = html.unescape(re.sub("<[^>]*>", lambda m: " " if re.match(r"</?(p|h1|br)\b", m[0]) else "", article))
+        assert got == re.sub("[ \t\n\x0b\x0c\r]+", " ", text).strip(" ")
 
 
 def test_pages(spark):
@@ -251,15 +298,17 @@ def test_pages(spark):
     noise = '<nav><ul><li><a href="/a">Menu</a></li></ul></nav><aside class="sidebar"><p>Side text</p></aside><div id="comments"><div class="comment"><p>Nice one!</p></div></div><footer>&copy; me</footer>'
     pages = ["<html><head><title>T</title><style>p{}</style></head><body><script>var x='</p>'</script><!-- c -->" + article + noise, None, "", "<", "<p>" * 3000, "<div " * 50, "&amp" * 10, "<script>never closed"]
     df = spark.createDataFrame([(i, f"u{i}", p, "clash") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
-    rows = html_text.extract(df).orderBy("page_id").collect()
+    rows = html_text.extract(df, html_model()).orderBy("page_id").collect()
     assert rows[0].text == "Titre & plus " + long.strip() + " Deux lignes été. Fin"
     assert all(r.n_chars == len(r.text) for r in rows) and [r.text for r in rows[1:3]] == ["", ""] and len(rows) == len(pages)
-    assert html_text.extract(df.limit(0)).count() == 0
+    assert html_text.extract(df.limit(0), html_model()).count() == 0
+    same = html_text.extract(spark.createDataFrame([(None, None, pages[0]), (None, None, pages[0])], "page_id long, url string, html string"), html_model()).collect()
+    assert [(r.page_id, r.url, r.text) for r in same] == [(None, None, rows[0].text)] * 2
 
 
 def test_custom_elements_hide_nothing(spark):
     long = "A sentence of main text with some words. " * 12
-    model = html_text.train()
+    model = html_model()
     page = '<html><head><title>T</title></head><body><article class="post"><h1>Title</h1>{}<p>' + long + "</p><p>Last one.</p></article></body></html>"
     for tag in ('<svg-icon name="x"></svg-icon>', "<select-menu></select-menu>", "<template-part>", "<title-bar/>", "<head-line>", "<svg/>", '<svg class="a=b" hidden/>', "<svg\n/>", "<svg><title>no</title></svg>", "<svg width=1/>no</svg>"):
         assert html_text.main_texts([page.format(tag)], model)[0] == f"Title {long.strip()} Last one.", tag

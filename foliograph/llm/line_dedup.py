@@ -1,16 +1,17 @@
 """Line dedup in DataFrame functions alone.
 
-Lines become (hash of the key, document, position). The hashes are range-partitioned and sorted
-by document; streaming over each range yields the first occurrences of every key. Their counts give
-the keys that lose lines, and each document gets a run-length bitmap of the lines it keeps; texts
-never travel with the hashes.
+Lines become (hash of the key, document, position). The hashes are range-partitioned and within each range sorted by document and
+position; streaming over it yields the first occurrences of every key. Their counts give the keys that lose lines, and each document
+gets a run-length bitmap of the lines it keeps. The bitmaps are written, so Spark knows their size: small ones are broadcast to the
+texts, which then stay where they are; else both are joined by document. Texts never travel with the hashes.
 
 Skew: a range is cut by (hash, salt of the document), so a key in a third of all documents spreads over
 SALTS ranges, and what leaves a range is at most MIN_DOCS rows for a key. The verdicts go back by
 (hash, salt) as well, so no task holds a key.
 
-Edge cases: a null or empty text is one empty line. Rows with the same doc_id count as one document for a
-key; a null doc_id is one document and the smallest. Empty tables give empty results.
+Edge cases: a null or empty text is one empty line; a very long text is a document like others, its bitmap is as long as its runs. Rows
+with the same doc_id, repeated rows among them, count as one document for a key; a null doc_id is one document and the smallest, so
+there are no ties for the largest. All columns are carried in `_row`, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def line_hashes(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def repeated_keys(hashes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(h, salt, keeper): keys in at least min_docs documents, with the largest doc_id that holds each, for every salt that they occur with."""
-    ranged = hashes.select("h", "salt", "_id").repartitionByRange("h", "salt")
+    ranged = hashes.select("h", "salt", "_id", "pos").repartitionByRange("h", "salt").sortWithinPartitions("h", "salt", F.col("_id").desc_nulls_last(), "pos")
     stream = Window.partitionBy("h", "salt").orderBy(F.col("_id").desc_nulls_last())
     # a document that repeats its line counts once, in the same partitioning
     firsts = ranged.withColumn("r", F.dense_rank().over(stream)).where(F.col("r") <= min_docs).select("h", "salt", "_id").distinct()
@@ -59,7 +60,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """_row, n_lines, n_dropped, keep_runs, kept: per document the lines that stay, as runs and as text."""
     rows = carried(docs)
     hashes = materialize(line_hashes(rows, min_chars), "line-hashes")
-    maps = keep_bitmaps(hashes, repeated_keys(hashes, min_docs)).select(F.col("_id").alias("b_id"), F.col("_tid").alias("b_tid"), "drop_runs")
+    maps = materialize(keep_bitmaps(hashes, repeated_keys(hashes, min_docs)), "bitmaps").select(F.col("_id").alias("b_id"), F.col("_tid").alias("b_tid"), "drop_runs")
     joined = rows.withColumn("_tid", F.xxhash64("_text")).join(maps, F.col("_id").eqNullSafe(F.col("b_id")) & (F.col("_tid") == F.col("b_tid")), "left")
     lines = _lines(F.col("_text"))
     out = joined.select("_row", lines.alias("lines"), F.coalesce("drop_runs", F.array().cast("array<struct<start:int,end:int>>")).alias("runs"))

@@ -4,8 +4,10 @@ The trees learn from `labels`, from at most TRAIN_ROWS labelled documents (those
 statistics are monotone where DIRECTIONS says so. Every document is scored in the scan that computes its statistics:
 nothing is shuffled.
 
-Edge cases: a null or empty text has no words and fails the base rules. Without labels of both classes the trees
-reject nothing. Rows are scored one by one, so repeated rows and null doc_ids need no care.
+Edge cases: a null or empty text has no words and fails the base rules; a very long text is read whole. Without labels of both classes
+the trees reject nothing; null labels are left out, and equal hashes of labels are taken in the order of their values. Rows are scored
+one by one, so rows that repeat, share a doc_id or have none need no care; an odds of exactly the threshold keeps. Of other columns,
+whatever their names, none is read, and keep_good carries them; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,12 +6,20 @@ within 3, and in one of the two halves within 1. The grid join therefore works o
 cell if their coordinates are equal, or differ by 1 in one segment. In the second case the popcounts of the halves
 have different parity, so only fingerprints of even parity visit neighbouring cells. Candidates are verified on all 64 bits.
 
+Two random halves share a cell with a chance of (3 / 8) ** 16, so of 10 ** 9 different fingerprints each meets some 150 others in a
+cell, and some 4,000 in all: the work grows with the square, but from that far out.
+
 Equal fingerprints are one point. Within a cell a task returns a spanning forest of the links, not the pairs, so
 a large group of near copies gives as many rows as members; a cell of over BLOCK points is cut into pairs of
 blocks. Components come from alternating large-star and small-star rounds on written tables.
 
-Edge cases: null and empty texts have fingerprint zero and link like any other; a null doc_id counts for nothing
-in component_id (null if a component has no other); rows with one doc_id are one document.
+Copies of one text share a fingerprint, and the last join brings each of them its component; the side of the components has one row
+for a fingerprint, so adaptive execution splits the copies of a frequent one.
+
+Edge cases: null and empty texts have fingerprint zero and link like any other; very long texts are hashed in chunks; a null doc_id
+counts for nothing in component_id (null if a component has no other) and loses to any other in its group; repeated rows are one
+document and stay or go together; rows that share a doc_id are judged each by its own text; ties can't be, as the smallest doc_id stays.
+All columns are carried, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_rows, slices
-from .common import carried, materialize
+from .common import carried, discard, materialize
 
 WORDS, SEED, MAX_BITS, BLOCK = 3, 42, 3, 4096
 _CHUNK = 1 << 16
@@ -66,15 +74,15 @@ def _fingerprint_batches(words: int, seed: int):
     def work(batches):
         for b in slices(batches, 1):
             prints = [fingerprint(t, words, seed) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], names=["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64()), b.column(2)], names=["_id", "fp", "_tid"])
 
     return work
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(_id, fp) of every row."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("binary").alias("_text"))
-    return map_rows(rows, _fingerprint_batches(words, seed), "_id long, fp long")
+    """(_id, fp, _tid) of every row; _tid is a hash of the text."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("binary").alias("_text"), F.xxhash64(docs["text"]).alias("_tid"))
+    return map_rows(rows, _fingerprint_batches(words, seed), "_id long, fp long, _tid long")
 
 
 def _visits(fp: Column) -> Column:
@@ -180,7 +188,8 @@ def components(edges: DataFrame) -> DataFrame:
         small_low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
         moved = large.join(small_low, F.col("u") == F.col("x"))
         small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u <> v").distinct(), "edges")
+        last, e = e, materialize(small.where("u <> v").distinct(), "edges")
+        discard(last)
         after = state(e)
         if after == before:
             break
@@ -189,21 +198,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = WORDS, bits: int = MAX_BITS) -> DataFrame:
-    """(_id, fp, component_id) of every row of docs."""
+    """(_id, fp, _tid, component_id) of every row of docs."""
     prints = materialize(fingerprints(docs, words), "fingerprints")
     points = materialize(prints.groupBy("fp").agg(F.min("_id").alias("first")), "points")
     roots = components(links(points.select("fp"), bits))
     named = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
     classes = named.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("c_fp"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("c_fp")).select("_id", "fp", "component_id")
+    return prints.join(classes, F.col("fp") == F.col("c_fp")).select("_id", "fp", "_tid", "component_id")
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of the smallest doc_id of every group, with all their columns."""
-    others = near_duplicate_groups(docs).where(~F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id").alias("o_id")).distinct()
-    rows = carried(docs)
-    return rows.join(others, F.col("_id").eqNullSafe(F.col("o_id")), "left_anti").select("_row.*")
+    others = near_duplicate_groups(docs).where(~F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id").alias("o_id"), F.col("_tid").alias("o_tid")).distinct()
+    rows = carried(docs).withColumn("_tid", F.xxhash64("_text"))
+    return rows.join(others, F.col("_id").eqNullSafe(F.col("o_id")) & (F.col("_tid") == F.col("o_tid")), "left_anti").select("_row.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from foliograph.functions.text import tokens
 
 # The floors of the gate.
 FLOORS = {"articles": 151, "sections": 2890, "items": 7000, "definitions": 185, "coverage_pct": 99.5, "tables": 200, "reliable_tables": 130}
+EXAMPLES = {"lost lines": 25, "broken references": 100, "repeated ids": 10}
 MOST_NARROW, RELIABLE, MIN_LINE, MIN_SHARE = 12, 0.95, 25, 0.60
 
 
@@ -83,6 +84,11 @@ def columns_without_data(positions: DataFrame, tables: DataFrame) -> DataFrame:
     return every.join(filled, ["id", "col"], "left_anti")
 
 
+def examples(name: str, offenders: DataFrame, order: list[str], text: str) -> DataFrame:
+    """(check, text): the first offenders of a check, as many as its report shows."""
+    return offenders.orderBy(*order).limit(EXAMPLES[name]).select(F.lit(name).alias("check"), F.col(text).cast("string").alias("text"))
+
+
 def histogram(tables: DataFrame, quality: str = "quality") -> DataFrame:
     q = F.col(quality)
     return tables.agg(F.count_if(q >= RELIABLE).alias("reliable"), F.count_if((q >= 0.8) & (q < RELIABLE)).alias("fair"), F.count_if(q < 0.8).alias("poor"), F.avg(q).alias("mean"))

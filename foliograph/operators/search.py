@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions.text import collapse, looks_like_code, norm_code, tokens, unaccent
@@ -10,7 +12,7 @@ from foliograph.functions.text import collapse, looks_like_code, norm_code, toke
 # Field boosts, fuzziness, list sizes and the score of an exact code.
 BOOST = {"id": 6.0, "title": 3.0, "text": 1.0}
 FUZZY, MAX_RESULTS, MAX_CODES, MIN_QUERY, CODE_SCORE = 0.15, 25, 10, 2, 1e6
-K1, B = 1.2, 0.75
+K1, B, BUCKETS = 1.2, 0.75, 64
 LABELS = {"sec": "Secciones", "tabla": "Tablas", "def": "Definiciones"}
 
 
@@ -48,7 +50,7 @@ def code_matches(docs: DataFrame, query: str, items: DataFrame | None = None) ->
     near = coded.where(F.startswith(qn, F.col("cn")) & extra.between(1, 3)).select("id", "kind", (F.lit(CODE_SCORE - 200) - extra).alias("score"))
     if items is not None:
         hit = items.where(looks_like_code(qn) & (norm_code(F.col("id")) == qn)).select("id", F.lit("sec").alias("kind"), F.lit(CODE_SCORE).alias("score"))
-        near = near.join(hit.limit(1).select(F.lit(1).alias("one")), F.lit(True), "left_anti")
+        near = near.where(hit.agg(F.count("*")).scalar() == 0)
         exact = exact.unionByName(hit)
     return exact.unionByName(near).orderBy(F.desc("score"), "id").limit(MAX_CODES)
 
@@ -62,12 +64,46 @@ def postings(docs: DataFrame, fields: dict[str, float]) -> tuple[DataFrame, Data
     return terms, size
 
 
-def bm25(docs: DataFrame, query: str, fields: dict[str, float] | None = None, prefix: bool = False, fuzzy: float = 0.0) -> DataFrame:
-    """(id, score): BM25 of each field times its boost, summed over the query's terms. With prefix or fuzzy, an index term that
-    extends a query term, or is within fuzzy * length edits, counts with a weight below 1. Query terms are few and fixed, so
-    the index is filtered before anything is joined."""
+@dataclass
+class Index:
+    """A written inverted index: postings by bucket of the term, the terms with their document frequencies, and the sizes of the fields."""
+
+    postings: DataFrame
+    terms: DataFrame
+    size: DataFrame
+    fields: dict[str, float]
+
+
+def write_index(docs: DataFrame, path: str, fields: dict[str, float] | None = None, buckets: int = BUCKETS) -> Index:
+    """Index docs once below path; a frequent term is spread over the files of its bucket by document."""
     fields = fields or BOOST
     index, size = postings(docs, fields)
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    spread = index.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term", "doc")
+    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    written = docs.sparkSession.read.parquet(f"{path}/postings")
+    written.groupBy("bucket", "field", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    size.withColumn("boost", _by_field(fields)).write.mode("overwrite").parquet(f"{path}/size")
+    return read_index(docs.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    postings_, terms, size = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "size"))
+    return Index(postings_, terms, size.drop("boost"), {r["field"]: r["boost"] for r in size.select("field", "boost").collect()})  # a row for each field
+
+
+def _by_field(fields: dict[str, float]) -> Column:
+    boost = F.lit(0.0)
+    for f, b in fields.items():
+        boost = F.when(F.col("field") == f, b).otherwise(boost)
+    return boost
+
+
+def bm25(docs: DataFrame | Index, query: str, fields: dict[str, float] | None = None, prefix: bool = False, fuzzy: float = 0.0) -> DataFrame:
+    """(id, score): BM25 of each field times its boost, summed over the query's terms. With prefix or fuzzy, an index term that
+    extends a query term, or is within fuzzy * length edits, counts with a weight below 1. Query terms are few and fixed, so
+    the index is filtered before anything is joined. In a written index the list of terms is searched, and only the buckets of those
+    that count are read."""
     words = list(dict.fromkeys(query.split()))
     weight = F.lit(0.0)
     for w in words:
@@ -79,12 +115,16 @@ def bm25(docs: DataFrame, query: str, fields: dict[str, float] | None = None, pr
             most = F.round(F.char_length(q) * fuzzy).cast("int")
             own = own.when((most > 0) & (F.levenshtein(F.col("term"), q) <= most), 0.45)
         weight = weight + F.coalesce(own, F.lit(0.0))
-    hits = index.withColumn("weight", weight).where("weight > 0")
-    df = hits.groupBy("field", "term").agg(F.countDistinct("doc").alias("df"))
-    boost = F.lit(0.0)
-    for f, b in fields.items():
-        boost = F.when(F.col("field") == f, b).otherwise(boost)
-    scored = hits.join(df, ["field", "term"]).join(F.broadcast(size), "field")
+    if isinstance(docs, Index):
+        fields, size = fields or docs.fields, docs.size
+        scored = docs.postings.join(docs.terms.withColumn("weight", weight).where("weight > 0"), ["bucket", "field", "term"])
+    else:
+        fields = fields or BOOST
+        index, size = postings(docs, fields)
+        hits = index.withColumn("weight", weight).where("weight > 0")
+        scored = hits.join(hits.groupBy("field", "term").agg(F.countDistinct("doc").alias("df")), ["field", "term"])
+    boost = _by_field(fields)
+    scored = scored.join(F.broadcast(size), "field")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = boost * F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     return scored.groupBy(F.col("doc").alias("id")).agg(F.sum(part).alias("score"))
@@ -109,9 +149,9 @@ def label_of(kind: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), kind)
 
 
-def search(docs: DataFrame, query: str, items: DataFrame | None = None) -> DataFrame:
-    """Grouped results for a query of two characters or more: exact codes first, then ranked terms."""
+def search(docs: DataFrame, query: str, items: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+    """Grouped results for a query of two characters or more: exact codes first, then ranked terms, from a written index if there is one."""
     if len(query.strip()) < MIN_QUERY:
         return docs.where(F.lit(False)).select("id", "kind", F.lit(0.0).alias("score"))
-    ranked = bm25(docs, query, prefix=True, fuzzy=FUZZY).join(docs.select("id", "kind"), "id").select("id", "kind", "score")
+    ranked = bm25(index or docs, query, prefix=True, fuzzy=FUZZY).join(docs.select("id", "kind"), "id").select("id", "kind", "score")
     return grouped(merged(code_matches(docs, query, items), ranked))

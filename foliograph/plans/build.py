@@ -22,7 +22,7 @@ OVERLAY = "id string, verificada string, title string, cols int, header_rows int
 
 
 def build(spark: SparkSession, source: str, target: str, gate: bool = True, floors: dict[str, float] | None = None) -> DataFrame:
-    """Write nodes, annotations, definitions, edges, backlinks, usage, tables, review and search; return the gate's report, enforced last."""
+    """Write nodes, annotations, definitions, edges, backlinks, usage, tables, review, search with its index, and examples of what is wrong; return the gate's report, enforced last."""
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{target}/{name}")
@@ -49,11 +49,19 @@ def build(spark: SparkSession, source: str, target: str, gate: bool = True, floo
     usage = kept(refs.table_usage(texts, tables, nodes), "table_usage")
     kept(review.buckets(review.priority(review.with_usage(review.unverified(tables), usage))), "review")
     flat = tables.withColumn("text", F.concat_ws(" ", "intro", grid.flat_text(F.col("rows"))))
-    write_compact(search.documents(nodes, notes, toc, terms, flat), f"{target}/search")
+    found = kept(search.documents(nodes, notes, toc, terms, flat), "search_documents")
+    write_compact(found, f"{target}/search")
+    search.write_index(found, f"{target}/search_index")
 
     parts = records.where("rec = 'part'")
     vocabulary = quality.vocabulary((nodes, ["article"], "title"), (nodes, ["article"], "text"), (records.where("rec <> 'node'"), ["article"], "text"), (parts, ["article"], "title"), (toc.withColumnRenamed("num", "article"), ["article"], "title"), *[(df.withColumn("article", F.lit(GLOSSARY)), ["article"], c) for df, c in ((terms, "term"), (terms, "definition"), (scope, "text"))])
-    covered = quality.coverage_summary(quality.coverage(lines.where("kind = 'text'"), vocabulary, ["article"], ["article", "doc_id", "line_no"]))
+    line_key = ["article", "doc_id", "line_no"]
+    by_line = kept(quality.coverage(lines.where("kind = 'text'"), vocabulary, ["article"], line_key), "line_coverage")
+    covered = quality.coverage_summary(by_line)
+    lost = by_line.where("not covered").join(lines.select(*line_key, "text"), line_key)
+    broken = graph.broken(edges, index).withColumn("text", F.concat_ws(" -> ", "src", "dst"))
+    shown = quality.examples("lost lines", lost, ["doc_id", "line_no"], "text").unionByName(quality.examples("broken references", broken, ["src", "dst"], "text"))
+    kept(shown.unionByName(quality.examples("repeated ids", quality.duplicates(nodes, "id"), ["id"], "id")), "examples")
     counts, floors = quality.counters(records), quality.FLOORS | (floors or {})
     positions = kept(grid.cell_positions(tables), "cells")
     reliable = tables.agg(F.count_if(F.col("quality") >= quality.RELIABLE).alias("n"))

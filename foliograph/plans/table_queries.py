@@ -99,8 +99,8 @@ WITH n AS (SELECT count(DISTINCT l_orderkey) AS rows FROM lineitem)
 SELECT l_linenumber AS col, count(*) FILTER (WHERE trim(l_returnflag) <> '') / max(rows) AS fill FROM lineitem, n GROUP BY l_linenumber""")
 def column_fill(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_returnflag", F.lit(1).alias("all"))
-    rows = li.join(table(spark, sf_dir, "lineitem").agg(F.countDistinct("l_orderkey").alias("rows")))
-    return D.column_fill(rows, ["all"], F.max("rows"), "l_linenumber", "l_returnflag").select(F.col("l_linenumber").alias("col"), "fill")
+    rows = table(spark, sf_dir, "lineitem").agg(F.countDistinct("l_orderkey")).scalar()
+    return D.column_fill(li, ["all"], rows, "l_linenumber", "l_returnflag").select(F.col("l_linenumber").alias("col"), "fill")
 
 
 @query("""

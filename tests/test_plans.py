@@ -7,9 +7,8 @@ import pytest
 from foliograph.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-#: One-row frames and the rank of groups are joined or ordered whole.
-LOOSE = {"column_fill"}
-PYTHON = {"cell_layout"}
+#: Those of the parse, whose depth is a fold over an article.
+PYTHON = {"parsed_nodes", "parsed_annotations", "items_below"}
 
 
 def plan(df):
@@ -19,8 +18,7 @@ def plan(df):
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_plan(spark, name):
     text = plan(catalog.queries()[name](spark, FOLDER))
-    if name not in LOOSE:
-        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert bool(re.search("Python|Arrow|Pandas", text)) == (name in PYTHON)
 
 

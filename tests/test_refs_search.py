@@ -92,12 +92,18 @@ def test_search_documents(spark):
 
 def test_overlay(spark):
     base = spark.createDataFrame([("a", "old", 1, 0.5, None), ("b", "keep", 2, 0.7, None)], "id string, title string, cols int, quality double, verificada string")
-    over = spark.createDataFrame([("a", "new", None, "2024-01-02", [1]), ("c", "added", 3, "2024-01-03", [2])], "id string, title string, cols int, verificada string, pages array<int>")
+    whole = "id string, title string, cols int, verificada string, pages array<int>, article int, header_rows int, rows array<array<int>>, regions array<int>"
+    over = spark.createDataFrame([("a", "new", None, "2024-01-02", [1], None, None, None, None), ("c", "added", 3, "2024-01-03", [2], 1, 1, [[1]], [1])], whole)
     got = {r.id: tuple(r)[1:] for r in O.correct_tables(base, over).collect()}
     assert got == {"a": ("new", 1, 1.0, "2024-01-02"), "b": ("keep", 2, 0.7, None), "c": ("added", 3, 1.0, "2024-01-03")}
     bad = spark.createDataFrame([("d", "x", None, "2024-01-03", [2])], "id string, title string, cols int, verificada string, pages array<int>")
     with pytest.raises(Exception, match="missing cols"):
-        O.correct_tables(base, bad).collect()
+        O.correct_tables(base, bad.withColumns({c: F.lit(1) for c in ("article", "header_rows", "rows", "regions")})).collect()
+    lacks = spark.createDataFrame([("d", "x", 1, "2024-01-03", [2])], "id string, title string, cols int, verificada string, pages array<int>")
+    with pytest.raises(Exception, match="missing article, header_rows, rows, regions"):  # no columns of the overlay at all
+        O.correct_tables(base, lacks).collect()
+    update = lacks.withColumn("id", F.lit("b"))
+    assert {r.id: r.title for r in O.correct_tables(base, update).collect()} == {"a": "old", "b": "x"}
 
 
 def test_review(spark):

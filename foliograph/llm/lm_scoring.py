@@ -1,7 +1,7 @@
 """Language-model scoring with sharded Elias-Fano tries of words, pairs and triples.
 
 The model backs off by interpolation: P(w | t, u) = s(t, u, w) + b(t, u) P(w | u), P(w | u) = s(u, w) + b(u) P(w), where
-s = c(context, w) / (c(context) + MASS), b = MASS / (c(context) + MASS), and P(w) is the add-one unigram. s is stored as one byte on
+s = c(context, w) / (c(context) + m), b = m / (c(context) + m) with m = PAIR_MASS or TRIPLE_MASS, and P(w) is the add-one unigram. s is stored as one byte on
 a logarithmic grid, and the count of a pair as a context of triples is read back from that byte. All counts are over all training
 texts; two begin marks stand before a text.
 
@@ -42,7 +42,7 @@ from .batches import map_rows
 from .common import materialize, scratch_root
 from .elias_fano import EliasFano, Level
 
-BLOCK, SHARD, MASS = 1_000_000, 2_000_000, 4.0
+BLOCK, SHARD, PAIR_MASS, TRIPLE_MASS = 1_000_000, 2_000_000, 256.0, 8.0
 END, BEGIN = b"\n", b"\r"  # no word holds one
 LOW, LEVELS = -12.0, 254  # the grid of codes 1 to 255: log10 from LOW to 0
 
@@ -196,7 +196,7 @@ class Block:
         self.pair_code = np.zeros(self.before.size, np.uint8)
         if told:
             self.pair_code[o] = np.concatenate([_codes(r["value"]) for r in told])
-        self.pair_count = np.where(self.pair_code > 0, np.maximum(1, np.rint(decode()[self.pair_code] * (self.pair_total + MASS))), 0).astype(np.int64)
+        self.pair_count = np.where(self.pair_code > 0, np.maximum(1, np.rint(decode()[self.pair_code] * (self.pair_total + PAIR_MASS))), 0).astype(np.int64)
         if told and told[0].get("place") is not None:
             found = self.pair_code[o] > 0
             self.pair_id, self.pair_place = np.zeros((2, self.before.size), np.int64)
@@ -278,7 +278,7 @@ def answer_words(requests: pa.Table) -> pa.Table:
     return _told(requests, rows)
 
 
-def _answer_level(places: bool):
+def _answer_level(places: bool, mass: float):
     def answer(requests: pa.Table) -> pa.Table:
         """Build the shard's level from all requests, then answer each of them from it."""
         cols = {k: [f(x) for x in requests[k].to_pylist()] for k, f in (("context", _unpack_sorted), ("width", _unpack), ("total", _unpack), ("word", _unpack), ("seen", _unpack))}
@@ -297,7 +297,7 @@ def _answer_level(places: bool):
         kept = count > 0
         rows, e, p = [], 0, 0
         with tempfile.TemporaryDirectory() as folder:
-            level = Level(folder, owner[kept], word[kept], encode(count[kept] / (total[owner[kept]] + MASS)), spans)
+            level = Level(folder, owner[kept], word[kept], encode(count[kept] / (total[owner[kept]] + mass)), spans)
             place, code = level.find(owner, word)
             begin = level.begin(np.arange(context.size))
             for block, ctx, wrd in zip(requests["block"].to_pylist(), cols["context"], cols["word"]):
@@ -364,8 +364,8 @@ def _scorer(shards: int, size: int, n: int, v: int):
         b.make_triples()
         b.know_triples(by_level.get(3, []))
         one, p = (b.count + 1) / (n + v + 1), decode()
-        two = p[b.pair_code] + MASS / (b.pair_total + MASS) * one[b.after]
-        three = np.log10(p[b.triple_code] + MASS / (b.pair_count[b.front] + MASS) * two[b.rear])
+        two = p[b.pair_code] + PAIR_MASS / (b.pair_total + PAIR_MASS) * one[b.after]
+        three = np.log10(p[b.triple_code] + TRIPLE_MASS / (b.pair_count[b.front] + TRIPLE_MASS) * two[b.rear])
         tokens, starts = b.tokens[b.valid], np.append(0, np.cumsum(b.lengths)[:-1])
         sums = [np.add.reduceat(x, starts) for x in ((b.count[tokens] > 0).astype(np.int64), np.log10(one)[tokens], three[b.triple_at])]
         cols = [pa.array(b.texts), pa.array(b.docs, mask=b.null), pa.array(b.held), pa.array(b.lengths), *map(pa.array, sums)]
@@ -400,8 +400,8 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     words = materialize(map_rows(own, _ask_words(shards, size), REQUESTS).groupBy("shard").applyInArrow(answer_words, ANSWERS), "words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     counts = level(words, 1, "value")
-    pairs = materialize(meet(level(words, 1, "place", "value"), _ask_pairs(shards, size), REQUESTS).groupBy("shard").applyInArrow(_answer_level(True), ANSWERS), "pairs")
-    triples = materialize(meet(counts.unionByName(level(pairs, 2, "place", "begin", "value")), _ask_triples(shards, size), REQUESTS).groupBy("shard").applyInArrow(_answer_level(False), ANSWERS), "triples")
+    pairs = materialize(meet(level(words, 1, "place", "value"), _ask_pairs(shards, size), REQUESTS).groupBy("shard").applyInArrow(_answer_level(True, PAIR_MASS), ANSWERS), "pairs")
+    triples = materialize(meet(counts.unionByName(level(pairs, 2, "place", "begin", "value")), _ask_triples(shards, size), REQUESTS).groupBy("shard").applyInArrow(_answer_level(False, TRIPLE_MASS), ANSWERS), "triples")
     told = counts.unionByName(level(pairs, 2, "value")).unionByName(level(triples, 3, "value"))
     parts = meet(told, _scorer(shards, size, n, v), SUMS)
     whole = parts.groupBy("text").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])

@@ -445,8 +445,8 @@ def brute_scores(tokens, train):
         ts, base, score = [begin, begin, *own], 0.0, 0.0
         for t, u, w in zip(ts, ts[1:], ts[2:]):
             p = p1 = (one.get(w, 0) + 1) / (n + v + 1)
-            for g in ((u, w), (t, u, w)):
-                p = (grams[g] + lm_scoring.MASS * p) / (context[g[:-1]] + lm_scoring.MASS)
+            for g, mass in (((u, w), lm_scoring.PAIR_MASS), ((t, u, w), lm_scoring.TRIPLE_MASS)):
+                p = (grams[g] + mass * p) / (context[g[:-1]] + mass)
             base, score = base + math.log10(p1), score + math.log10(p)
         out[i] = sum(w in one for w in own), base, score
     return out, n

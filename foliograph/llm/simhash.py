@@ -13,8 +13,8 @@ Equal fingerprints are one point. Within a cell a task returns a spanning forest
 a large group of near copies gives as many rows as members; a cell of over BLOCK points is cut into pairs of
 blocks. Components come from alternating large-star and small-star rounds on written tables.
 
-Copies of one text share a fingerprint, and the last join brings each of them its component; the side of the components has one row
-for a fingerprint, so adaptive execution splits the copies of a frequent one.
+Copies of one text share a fingerprint, and members of a component its root. The joins that bring each of them its component cut keys of
+more than HOT_ROWS rows by a salt; the list of these keys, at most one for HOT_ROWS rows, is broadcast.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; very long texts are hashed in chunks; a null doc_id
 counts for nothing in component_id (null if a component has no other) and loses to any other in its group; repeated rows are one
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .batches import map_rows, slices
 from .common import carried, discard, materialize
 
-WORDS, SEED, MAX_BITS, BLOCK = 3, 42, 3, 4096
+WORDS, SEED, MAX_BITS, BLOCK, HOT_ROWS = 3, 42, 3, 4096, 100_000
 _CHUNK = 1 << 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -197,15 +197,25 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def split_join(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of keyed, which has one row for each key, as `k`, and how many rows hold it, as `n`."""
+    parts = F.ceil(F.col("n") / HOT_ROWS).cast("int")
+    hot = keyed.where(F.col("n") > HOT_ROWS).select(F.col("k").alias("h_k"), parts.alias("h_parts"))  # at most rows / HOT_ROWS keys
+    spread = F.pmod(F.xxhash64(*[rows[c] for c in rows.columns]), F.coalesce("h_parts", F.lit(1))).cast("int")
+    salted = rows.join(F.broadcast(hot), rows[key] == F.col("h_k"), "left").select(*[rows[c] for c in rows.columns], spread.alias("salt"))
+    copies = keyed.withColumn("k_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return salted.join(copies, (F.col(key) == F.col("k")) & (F.col("salt") == F.col("k_salt"))).drop("salt", "k_salt", "k")
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = WORDS, bits: int = MAX_BITS) -> DataFrame:
     """(_id, fp, _tid, component_id) of every row of docs."""
     prints = materialize(fingerprints(docs, words), "fingerprints")
-    points = materialize(prints.groupBy("fp").agg(F.min("_id").alias("first")), "points")
+    points = materialize(prints.groupBy("fp").agg(F.min("_id").alias("first"), F.count("*").alias("n")), "points")
     roots = components(links(points.select("fp"), bits))
-    named = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    classes = named.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("c_fp"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("c_fp")).select("_id", "fp", "_tid", "component_id")
+    named = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.col("n").alias("copies"), F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy(F.col("root").alias("k")).agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    classes = split_join(named, materialize(least, "components"), "root").select(F.col("fp").alias("k"), "component_id", F.col("copies").alias("n"))
+    return split_join(prints, materialize(classes, "classes"), "fp").select("_id", "fp", "_tid", "component_id")
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:

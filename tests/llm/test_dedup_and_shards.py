@@ -113,6 +113,14 @@ def test_simhash_groups(spark):
     assert {r["_id"]: r.component_id for r in rows} == brute_groups(prints)
 
 
+def test_simhash_cuts_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 3)
+    texts = ["one two three four"] * 20 + near_copies()[:40] + [None] * 7
+    rows = simhash.near_duplicate_groups(make(spark, texts)).collect()
+    prints = {i: brute_print(t) for i, t in enumerate(texts)}
+    assert len(rows) == len(texts) and {r["_id"]: r.component_id for r in rows} == brute_groups(prints)
+
+
 def test_simhash_links_lose_nothing(spark):
     """Chains of fingerprints one to three bits apart, dense cells, and cells cut into blocks."""
     r = random.Random(9)

@@ -1,13 +1,14 @@
 """Lexical retrieval packing into windows of WINDOW tokens.
 
 Every text is tokenised once; whole windows are cut off as sequences of their own and the rest, the tail, is packed with
-others. Tails are range-partitioned by a min-hash of their tokens, so that texts with the same words come near each other,
-and each partition is read in index shards of SHARD tails. A shard is a BM25 inverted index (document
+others. Tails are range-partitioned by the leaf of a small tree of term centroids, fitted on SAMPLE tails at most, and by a min-hash of
+their tokens inside it, so that texts with the same words come near each other, and each partition is read in index shards of SHARD
+tails. A shard is a BM25 inverted index (document
 frequencies over all tails): each seed, longest first, is a query of all its terms, and its best
 unused neighbours in the shard fill its window, the last one cut to fit. What doesn't fill a window goes on to the next shard, so
 only the last window of a partition is padded.
 
-A task holds one shard at a time, whatever the size of its partition, and (min-hash, doc_id) splits any group of copies.
+A task holds one shard at a time, whatever the size of its partition, and (leaf, min-hash, doc_id) splits any group of copies.
 
 Ids are those of `tokenizers` for every text, also for the longest runs of white space. Texts go through in slices of SLICE_BYTES.
 
@@ -37,6 +38,7 @@ from .batches import map_rows, slices
 from .common import materialize
 
 WINDOW, SHARD, END, K1, B = 1024, 2048, 0, 1.2, 0.75
+SAMPLE, BRANCH, DIMS, SEED = 4000, 8, 2048, 7  # the tree has two levels of BRANCH centroids over DIMS hashed terms
 TOKENIZER = "byte_bpe_50k.json"
 #: The regular expressions of `tiktoken` overflow on longer runs of white space; `tokenizers` takes such texts.
 LONG_SPACE = re.compile(r"\s{4096}")
@@ -116,6 +118,56 @@ def _frequency_batches(kind, size: int):
     return work
 
 
+def bm25_weights(count: np.ndarray, token: np.ndarray, size, idf: np.ndarray, mean: float) -> np.ndarray:
+    return (idf[token] * count * (K1 + 1) / (count + K1 * (1 - B + B * size / mean))).astype(np.float32)
+
+
+class Leaves:
+    """Two levels of spherical k-means centroids over the BM25 weights of hashed terms."""
+
+    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float, seed: int = SEED) -> None:
+        self.idf, self.mean = idf, mean
+        x, rng = np.zeros((len(tails), DIMS), np.float32), np.random.default_rng(seed)
+        for row, tail in zip(x, tails):
+            at, w = self.terms(tail)
+            np.add.at(row, at, w)
+        x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+        self.top = self._centroids(x, rng)
+        own = (x @ self.top.T).argmax(axis=1)
+        self.below = [self._centroids(x[own == k], rng) for k in range(BRANCH)]
+
+    def terms(self, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        token, count = np.unique(tail.astype(np.int64), return_counts=True)
+        place = (token.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % DIMS
+        return place, bm25_weights(count, token, tail.size, self.idf, self.mean)
+
+    @staticmethod
+    def _centroids(x: np.ndarray, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+        if len(x) < BRANCH:
+            return np.zeros((BRANCH, DIMS), np.float32)
+        c = x[rng.choice(len(x), BRANCH, replace=False)].copy()
+        for _ in range(rounds):
+            own = (x @ c.T).argmax(axis=1)
+            for k in np.unique(own):
+                mean = x[own == k].mean(axis=0)
+                c[k] = mean / max(1e-9, float(np.linalg.norm(mean)))
+        return c
+
+    def leaf(self, tail: np.ndarray) -> int:
+        at, w = self.terms(tail)
+        k = int((self.top[:, at] @ w).argmax())
+        return k * BRANCH + int((self.below[k][:, at] @ w).argmax())
+
+
+def _leaf_batches(leaves, kind):
+    def work(batches):
+        for b in batches:
+            own = [leaves.value.leaf(np.frombuffer(t, kind)) if t else 0 for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32())], names=[*b.schema.names, "leaf"])
+
+    return work
+
+
 class Shard:
     """A BM25 inverted index over tails, packed greedily."""
 
@@ -126,7 +178,7 @@ class Shard:
         token = np.concatenate([u for u, _ in found]).astype(np.int64)
         tf = np.concatenate([c for _, c in found])
         doc = np.repeat(np.arange(len(tails)), widths)
-        weight = (idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.sizes[doc] / mean))).astype(np.float32)
+        weight = bm25_weights(tf, token, self.sizes[doc], idf, mean)
         order = np.argsort(token, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.terms, first = np.unique(token[order], return_index=True)
@@ -222,16 +274,22 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, shar
     spark = docs.sparkSession
     vocabulary, kind = token_ids(tokenizer).size, token_ids(tokenizer).kind
     rows = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("_text"))
-    tokens = materialize(map_rows(rows, _token_batches(tokenizer, window, with_ids), "_id long, total long, full array<long>, tail binary, key long, head binary"), "tokens")
+    schema = "_id long, total long, full array<long>, tail binary, key long, head binary"
+    tokens = materialize(map_rows(rows, _token_batches(tokenizer, window, with_ids), schema), "tokens")
     # one number for each entry of the vocabulary, whatever the input
     counts = map_rows(tokens.select("tail"), _frequency_batches(kind, vocabulary), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     n, size = tokens.agg(F.count("*"), F.sum(F.octet_length("tail"))).first()
     df = np.zeros(vocabulary)
     for token, c in counts:
         df[token] = c
-    idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
+    weights = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    idf = spark.sparkContext.broadcast(weights)
     mean = max(1.0, (size or 0) / kind().itemsize / max(1, n))
-    near = tokens.repartitionByRange("key", "_id").sortWithinPartitions("key", "_id", "total", "tail", "full")  # the same order in every attempt
+    sample = tokens.where(F.octet_length("tail") > 0).select("tail").orderBy(F.xxhash64("_id"), "key", "tail").limit(SAMPLE).collect()  # tails of less than a window
+    leaves = spark.sparkContext.broadcast(Leaves([np.frombuffer(r["tail"], kind) for r in sample], weights, mean))
+    placed = map_rows(tokens, _leaf_batches(leaves, kind), schema + ", leaf int")
+    order = ["leaf", "key", "_id", "total", "tail", "full"]  # the same in every attempt
+    near = placed.repartitionByRange("leaf", "key", "_id").sortWithinPartitions(*order).drop("leaf")
     return map_rows(near, _pack_batches(idf, mean, kind, window, shard, with_ids), PIECE)
 
 

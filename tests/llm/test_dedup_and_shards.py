@@ -256,6 +256,26 @@ def test_packing_prefers_neighbours():
         assert len({order[i] // 4 for i, *_ in window}) == 1
 
 
+def test_packing_keeps_topics_together():
+    """Most of a tail's best neighbours by brute force are in its shard, far more than a random shard would hold."""
+    r = np.random.default_rng(5)
+    common, topics = r.integers(0, 200, (600, 60)), [r.integers(1000 + 300 * t, 1000 + 300 * t + 120, (50, 60)) for t in range(12)]
+    tails = [np.concatenate([c, t]) for c, t in zip(common, (row for topic in topics for row in topic))]
+    df = np.zeros(5000)
+    for t in tails:
+        df[np.unique(t)] += 1
+    idf = np.log1p((600 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    leaves, whole = packing.Leaves(tails[::2], idf, 120.0), packing.Shard(tails, idf, 120.0)
+    place = np.empty(600, np.int64)
+    place[np.lexsort((np.arange(600), [leaves.leaf(t) for t in tails]))] = np.arange(600)
+    shard, hits = place // 100, []
+    for seed in range(0, 600, 7):
+        best = np.argsort(-whole.scores(seed), kind="stable")[1:11]
+        hits.append((shard[best] == shard[seed]).mean())
+    assert np.mean(hits) > 0.7
+    assert packing.Leaves([], idf, 1.0).leaf(tails[0]) == 0
+
+
 def test_packing_scores_by_all_terms():
     r = np.random.default_rng(3)
     tails, idf = [r.integers(0, 400, n) for n in (900, 300, 300, 20, 1)], r.random(400).astype(np.float32)

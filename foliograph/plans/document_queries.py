@@ -4,6 +4,7 @@ the tables themselves, not by parsing."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foliograph.functions import text as X
 from foliograph.operators import grid as D
 from foliograph.operators import lines as L
 from foliograph.operators import refs as R
@@ -234,3 +235,41 @@ f AS (SELECT term, count(*) AS df FROM t GROUP BY term)
 SELECT t.id, round(sum(weight * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 6) AS score FROM t JOIN f ON t.term = f.term JOIN l ON t.id = l.id, n, k GROUP BY t.id""")
 def prefix_and_fuzzy_search(spark, sf_dir):
     return S.bm25(every_text(spark, sf_dir), "ander tion", {"text": 1.0}, prefix=True, fuzzy=S.FUZZY).select("id", F.round("score", 6).alias("score"))
+
+
+# Lines of every class, with what each must be.
+CLASSES = [
+    ("ARTÍCULO 310", "article"), ("Figura 310-2.- Zanja", "figure_caption"), ("Tabla 310-15(b)(16).- Ampacidades", "table_caption"), ("310-2. Definiciones", "section"), ("B. Instalación", "part"),
+    ("NOTA 2: Véase", "note"), ("Excepción a (b): No se exige", "exception"), ("a) Cobre", "alpha"), ("(12) Aluminio", "paren"), ("3) Otros", "num"), ("c. Último", "letter"), ("una línea de texto", "text"), ("Tabla 1 del Capítulo 10", "text"),
+]
+
+
+@query(f"""
+WITH c(k, cls) AS (VALUES {", ".join(f"({k}, '{cls}')" for k, (_, cls) in enumerate(CLASSES))}) SELECT o_orderkey, cls FROM orders JOIN c ON o_orderkey % 13 = k""")
+def line_class_hits(spark, sf_dir):
+    made = F.get(F.array(*[F.lit(line) for line, _ in CLASSES]), (F.col("o_orderkey") % 13).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", L.line_class(made).alias("cls"))
+
+
+@query("""
+SELECT o_orderkey, o_orderkey % 6 = 5 AS kept, CASE WHEN o_orderkey % 6 = 5 THEN 'a 60 °C y Φ' || o_custkey END AS text FROM orders""")
+def furniture_hits(spark, sf_dir):
+    """Lines that every page repeats, and a text with broken glyphs."""
+    k, cust = F.col("o_orderkey") % 6, F.col("o_custkey").cast("string")
+    line = F.when(k == 0, "SENER").when(k == 1, "31/12/2012").when(k == 2, "12/780").when(k == 3, F.concat(F.lit("www.dof.gob.mx/"), cust)).when(k == 4, "  SENER ").otherwise(F.concat(F.lit("a 60 ೦C y Ф"), cust))
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"))
+    kept = L.without_furniture(lines, "line").select(F.col("o_orderkey").alias("k"), X.fix_glyphs(F.col("line")).alias("text"))
+    return lines.join(kept, F.col("o_orderkey") == F.col("k"), "left").select("o_orderkey", F.col("k").isNotNull().alias("kept"), "text")
+
+
+@query("""
+WITH l AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey % 50) || ' ' || (o_custkey % 7) WHEN o_orderkey % 3 = 1 THEN 'texto' ELSE '' END AS t, o_custkey % 9 AS c FROM orders),
+p AS (SELECT *, o_orderkey % 3 = 0 AS merged FROM l)
+SELECT c::VARCHAR AS table_id, CASE WHEN avg(CASE WHEN t <> '' THEN merged::INTEGER END) <= 0.02 + 0.5 THEN 'rejilla' ELSE 'huecos' END AS grid FROM p GROUP BY c""")
+def chosen_models(spark, sf_dir):
+    """The drawn grid of one score for each table, against gaps of score 0.5 with a slack of 0.02."""
+    k = F.col("o_orderkey") % 3
+    t = F.when(k == 0, F.concat_ws(" ", (F.col("o_custkey") % 50).cast("string"), (F.col("o_custkey") % 7).cast("string"))).when(k == 1, "texto").otherwise("")
+    cells = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 9).cast("string").alias("table_id"), t.alias("t"))
+    scores = D.grid_score(cells, ["table_id"]).withColumnRenamed("score", "grid_score").withColumn("gap_score", F.lit(0.5))
+    return D.choose_model(scores).select("table_id", "grid")

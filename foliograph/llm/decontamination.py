@@ -6,8 +6,9 @@ edits and is split into k + 1 pieces: a passage within the budget holds one of t
 items are found in every text by one Aho-Corasick automaton, and each place that a hit allows is verified by Myers'
 bit-parallel distance, free at both ends. There is no limit on hits or matches.
 
-Items travel to the tasks in blocks of about BLOCK_CHARS characters, each block in a pass of its own, so what is broadcast
-is bounded however large the benchmark is. Documents are never shuffled.
+Items travel to the tasks in broadcast blocks of about BLOCK_CHARS characters. The corpus is read once: a task takes its texts in slices
+and runs each slice through the automata of all blocks, one after the other, so it holds one automaton and one slice, however large the
+benchmark is. The benchmark as a whole, unlike the corpus, passes through the driver. Documents are never shuffled.
 
 Edge cases: null and empty texts match nothing; very long ones are searched whole; of places with the same distance the first is
 reported; other columns, whatever their names, are carried by drop_leaks and not read by find_leaks; an empty table, or an empty
@@ -28,7 +29,7 @@ from .batches import map_rows, slices
 from .common import carried
 
 OTHER = re.compile(r"[\W_]+")
-RATE, BLOCK_CHARS = 0.08, 4_000_000
+RATE, BLOCK_CHARS, SLICE_BYTES = 0.08, 4_000_000, 64_000_000
 
 
 def normal(text: str | None) -> str:
@@ -120,36 +121,38 @@ class Matcher:
 SCHEMA = "_id long, _tid long, item_id long, distance int, budget int, start long, end long"
 
 
-def _match_batches(items, rate: float):
-    held: list[Matcher] = []
+def _match_batches(blocks: list, rate: float):
+    held: list[Matcher] = []  # of a benchmark of one block
 
-    def work(batches):
+    def matcher(block) -> Matcher:
+        if len(blocks) > 1:
+            return Matcher(block.value, rate)
         if not held:
-            held.append(Matcher(items.value, rate))
-        for b in slices(batches, 2):
-            rows = []
-            for i, t, text in zip(*(b.column(j).to_pylist() for j in range(3))):
-                rows.extend((i, t, *x) for x in held[0].matches(normal(text)))
-            cols = list(zip(*rows)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_id", "_tid", "item_id", "distance", "budget", "start", "end"])
+            held.append(Matcher(block.value, rate))
+        return held[0]
+
+    def work(batches):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        for b in slices(batches, 2, SLICE_BYTES):
+            texts = [(i, t, normal(text)) for i, t, text in zip(*(b.column(j).to_pylist() for j in range(3)))]
+            for block in blocks:
+                m = matcher(block)
+                cols = list(zip(*((i, t, *x) for i, t, text in texts for x in m.matches(text)))) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return work
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document and item within the item's budget, with the best place in the normalised text."""
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = -(-chars // block_chars) or 1
+    n = -(-chars // block_chars) or 1
+    block = F.pmod(F.xxhash64("text", "item_id"), F.lit(n))
+    blocks = [sc.broadcast([tuple(r) for r in items.where(block == b).collect()]) for b in range(n)]
     rows = docs.select(docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"]).alias("_tid"), docs["text"].alias("_text"))
-    found = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b).collect()
-        part = map_rows(rows, _match_batches(spark.sparkContext.broadcast([tuple(r) for r in block]), rate), SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    return found
+    return map_rows(rows, _match_batches(blocks, rate), SCHEMA)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -180,7 +180,7 @@ class Shard:
         doc = np.repeat(np.arange(len(tails)), widths)
         weight = bm25_weights(tf, token, self.sizes[doc], idf, mean)
         order = np.argsort(token, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
+        self.doc, self.weight = doc[order], weight[order].astype(np.float64)
         self.terms, first = np.unique(token[order], return_index=True)
         self.first, self.last = first, np.append(first[1:], token.size)
         self.forward = np.append(0, np.cumsum(widths))
@@ -285,7 +285,10 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, shar
     weights = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     idf = spark.sparkContext.broadcast(weights)
     mean = max(1.0, (size or 0) / kind().itemsize / max(1, n))
-    sample = tokens.where(F.octet_length("tail") > 0).select("tail").orderBy(F.xxhash64("_id"), "key", "tail").limit(SAMPLE).collect()  # tails of less than a window
+    # about twice SAMPLE rows by a hash of their place in the written table, whatever they hold; tails are shorter than a window
+    at = F.xxhash64(F.monotonically_increasing_id())
+    few = tokens.select("tail", at.alias("at")).where((F.pmod("at", F.lit(max(1, n // (2 * SAMPLE)))) == 0) & (F.octet_length("tail") > 0))
+    sample = few.orderBy("at").limit(SAMPLE).collect()
     leaves = spark.sparkContext.broadcast(Leaves([np.frombuffer(r["tail"], kind) for r in sample], weights, mean))
     placed = map_rows(tokens, _leaf_batches(leaves, kind), schema + ", leaf int")
     order = ["leaf", "key", "_id", "total", "tail", "full"]  # the same in every attempt

@@ -201,14 +201,17 @@ def item_ids(records: DataFrame) -> DataFrame:
 
 
 def ancestors(edges: DataFrame, child: str, parent: str, depth: int = 16) -> DataFrame:
-    """(child, ancestor, distance) over a parent column, by repeated joins while anything is added; `depth` bounds the nesting, which is short by nature."""
+    """(child, ancestor, distance) over a parent column, by repeated joins while anything is added. Nesting is short by nature; if it goes on beyond
+    `depth` levels, as in a cycle, that is an error, not a cut."""
     pairs = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("ancestor"))
     out = level = pairs.withColumn("distance", F.lit(1))
-    for d in range(2, depth + 1):
+    for d in range(2, depth + 2):
         up = pairs.select(F.col("child").alias("c2"), F.col("ancestor").alias("a2"))
         level = level.join(up, F.col("ancestor") == F.col("c2")).select("child", F.col("a2").alias("ancestor"), F.lit(d).alias("distance"))
-        if d > 2 and level.isEmpty():
+        if (d > 2 or d > depth) and level.isEmpty():
             break
+        if d > depth:
+            raise ValueError(f"nested deeper than {depth} levels")
         out = out.unionByName(level)
     return out
 

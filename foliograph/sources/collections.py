@@ -50,7 +50,7 @@ def positioned_lines(pages: DataFrame) -> DataFrame:
 
 def words(pages: DataFrame, y_min: float = -1.0) -> DataFrame:
     """Positioned words below y_min, glyphs repaired, furniture dropped."""
-    return pages.where(F.col("y0") >= y_min).withColumn("text", fix_glyphs(F.col("text"))).where(~is_furniture(F.col("text")))
+    return pages.where(F.col("y0") > y_min).withColumn("text", fix_glyphs(F.col("text"))).where(~is_furniture(F.col("text")))
 
 
 def images(placements: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ def test_lines_and_words(spark):
     assert [(r.text, r.y) for r in C.positioned_lines(pages).collect()] == [("165 °C", 5.0)]
     plain = C.plain_lines(spark.createDataFrame([("d", 1, "uno\nSENER\n31/12/2012\ndos")], "doc_id string, page int, text string"))
     assert [r.text for r in plain.orderBy("ord").collect()] == ["uno", "dos"]
-    words = spark.createDataFrame([(1.0, "a"), (9.0, "SENER"), (9.0, "b")], "y0 double, text string")
+    words = spark.createDataFrame([(1.0, "a"), (5.0, "at the bound"), (9.0, "SENER"), (9.0, "b")], "y0 double, text string")
     assert [r.text for r in C.words(words, 5.0).collect()] == ["b"]
 
 

@@ -117,3 +117,12 @@ def test_stream_order(spark):
     text = spark.createDataFrame([("d", 1, 10.0, 0, "text", "a"), ("d", 1, 30.0, 1, "text", "b")], "doc_id string, page int, y double, ord int, kind string, text string")
     marks = spark.createDataFrame([("d", 1, 10.0, 0, "tbl", None)], "doc_id string, page int, y double, ord int, kind string, text string")
     assert [r.kind for r in L.merge_stream(text, marks).orderBy("line_no").collect()] == ["tbl", "text", "text"]
+
+
+def test_ancestors_end_or_fail(spark):
+    edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("a", None)], "child string, parent string")
+    assert {(r.child, r.ancestor, r.distance) for r in T.ancestors(edges, "child", "parent", depth=2).collect()} == {("c", "b", 1), ("b", "a", 1), ("c", "a", 2)}
+    with pytest.raises(ValueError, match="deeper than 1"):
+        T.ancestors(edges, "child", "parent", depth=1)
+    with pytest.raises(ValueError, match="deeper"):
+        T.ancestors(spark.createDataFrame([("x", "y"), ("y", "x")], "child string, parent string"), "child", "parent", depth=3)

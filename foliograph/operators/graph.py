@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+CHUNK = 100_000  # sources in a row of published backlinks
+
 
 def outgoing(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("targets"))
@@ -14,6 +16,17 @@ def incoming(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("src")).alias("sources"))
 
 
+def incoming_chunks(edges: DataFrame, most: int = CHUNK) -> DataFrame:
+    """(id, chunk, sources): backlinks in numbered chunks of about `most` sources, so that a target that every page cites is neither one row
+    nor one task. Chunks are dealt by a hash of the source; most targets have one."""
+    once = edges.select(F.col("dst").alias("id"), "src").distinct()
+    counts = once.groupBy("id").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    wide = counts.where("parts > 1").select(F.col("id").alias("w_id"), "parts")  # at most sources / most targets
+    chunk = F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = once.join(F.broadcast(wide), F.col("id") == F.col("w_id"), "left").select("id", chunk.alias("chunk"), "src")
+    return dealt.groupBy("id", "chunk").agg(F.array_sort(F.collect_list("src")).alias("sources"))
+
+
 def rollup(edges: DataFrame, delimiter: str = "(") -> DataFrame:
     """Backlinks of the id up to the first delimiter."""
     return incoming(edges.select("src", F.split_part("dst", F.lit(delimiter), F.lit(1)).alias("dst")))

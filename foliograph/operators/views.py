@@ -40,10 +40,10 @@ def general_tables(tables: DataFrame) -> DataFrame:
 
 
 def article_view(num: int, nodes: DataFrame, annotations: DataFrame, anchors: DataFrame, backlinks: DataFrame) -> DataFrame:
-    """All nodes of an article in order, each with its notes and exceptions by seq, its tables and who cites it."""
+    """All nodes of an article in order, each with its notes and exceptions by seq, its tables and who cites it, from the chunks of its backlinks."""
     n = annotations.groupBy(F.col("node_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "label", "text"))).alias("annotations"))
     a = anchors.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "ref"))).alias("tables"))
-    b = backlinks.select("id", F.col("sources").alias("cited_by"))
+    b = backlinks.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("sources"))).alias("cited_by"))
     return nodes.where(F.col("article") == num).join(n, "id", "left").join(a, "id", "left").join(b, "id", "left").orderBy("ord")
 
 

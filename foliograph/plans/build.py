@@ -43,7 +43,7 @@ def build(spark: SparkSession, source: str, target: str, gate: bool = True, floo
     chapters = toc.select(F.col("chapter").alias("num")).distinct()
     edges = kept(refs.edges(texts, toc, chapters), "edges")
     index = kept(graph.node_index(toc, nodes), "index")
-    kept(graph.incoming(edges), "backlinks")
+    kept(graph.incoming_chunks(edges), "backlinks")
     kept(graph.rollup(edges), "backlinks_rollup")
     kept(graph.described(graph.top_cited(edges), index), "top_cited")
     usage = kept(refs.table_usage(texts, tables, nodes), "table_usage")

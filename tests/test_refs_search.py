@@ -52,6 +52,10 @@ def test_broken_and_rollup(spark):
     index = spark.createDataFrame([("b(1)",), ("b(2)",)], "id string")
     assert [r.dst for r in G.broken(e, index).collect()] == ["zz"]
     assert {r.id: r.sources for r in G.rollup(e).collect()}["b"] == ["a", "c"]
+    many = spark.createDataFrame([(f"s{i % 50}", "hot") for i in range(80)] + [("a", "b")], "src string, dst string")
+    chunks = G.incoming_chunks(many, 9).collect()
+    assert sorted(s for r in chunks if r.id == "hot" for s in r.sources) == sorted({f"s{i}" for i in range(50)})
+    assert max(len(r.sources) for r in chunks) < 25 and sum(r.id == "hot" for r in chunks) > 3 and [r.sources for r in chunks if r.id == "b"] == [["a"]]
     assert G.dangling(e, "tabla", spark.createDataFrame([("8",)], "id string"), "id").count() == 1
 
 

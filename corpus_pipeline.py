@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir). All but the last return rows with the columns of documents; n_chars is set anew
 where a text has changed. A text that loses all its lines becomes empty and stays a document.
+
+Edge cases: rejected documents are gone for all later stages. Null and empty texts fail the base rules of the first stage; where a
+stage meets them all the same, line dedup keeps them, near-dedup holds them for copies of one another, decontamination keeps
+them and packing gives their end token. Very long texts are worked on whole. Rows that repeat or share a doc_id count as one document for
+line dedup and are judged by their own text elsewhere; of a group of near duplicates the smallest doc_id stays, a null one only where
+there is no other. Extra columns are carried to the last stage, whatever their names. Empty tables give an empty result.
 """
 
 from __future__ import annotations

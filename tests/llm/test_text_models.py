@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -314,6 +315,13 @@ def test_custom_elements_hide_nothing(spark):
         assert html_text.main_texts([page.format(tag)], model)[0] == f"Title {long.strip()} Last one.", tag
 
 
+@pytest.mark.parametrize("source", ["<div>" * 100_000, "<b>" * 100_000 + "</i></div>" * 100_000, "<p class=a>" * 50_000, "<li><a class=x>t" * 30_000 + "</ul>" * 30_000, "<table><tr><td>" * 30_000])
+def test_deep_pages_take_time_in_proportion(source):
+    start = time.time()
+    html_text.main_texts([source], html_model())
+    assert time.time() - start < 60
+
+
 def test_kept_nodes_have_kept_parents():
     r = np.random.default_rng(2)
     page = html_text.Page(html_text.generated_page(random.Random(5)))

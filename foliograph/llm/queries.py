@@ -16,6 +16,7 @@ OPERATORS = {
     8: ("language_id", "op8_language_id"),
     9: ("lm_scoring", "op9_lm_scoring"),
     10: ("sharding", "op10_sharding"),
+    11: ("spelling", "op11_spelling_variants"),
 }
 
 

@@ -17,6 +17,7 @@ OPERATORS = {
     9: ("lm_scoring", "op9_lm_scoring"),
     10: ("sharding", "op10_sharding"),
     11: ("spelling", "op11_spelling_variants"),
+    12: ("hard_negatives", "op12_hard_negatives"),
 }
 
 

@@ -18,6 +18,7 @@ OPERATORS = {
     10: ("sharding", "op10_sharding"),
     11: ("spelling", "op11_spelling_variants"),
     12: ("hard_negatives", "op12_hard_negatives"),
+    13: ("personal_data", "op13_personal_data"),
 }
 
 

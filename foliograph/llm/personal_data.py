@@ -261,7 +261,7 @@ class Labels:
 
     #: Prior counts of votes (no, abstain, yes) by class and labeler: one is taken to be better than chance until the counts say more, and checks hardly
     #: ever fail on true data.
-    PRIOR = np.repeat([[[12.0, 18.0, 5.0]], [[2.0, 18.0, 15.0]]], LABELERS, axis=1)
+    PRIOR = np.repeat([[[12.0, 18.0, 3.0]], [[1.5, 18.0, 15.5]]], LABELERS, axis=1)
     PRIOR[1, 1] = 0.2, 18, 16.8
     SHARE = np.array([15.0, 5.0])
     #: The counts of a kind are scaled down to this sum, so that the priors keep their say at every size.

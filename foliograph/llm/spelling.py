@@ -131,6 +131,8 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def spelling_groups(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word of a written vocabulary (wid, word, n)."""
+    if ratio <= 1:
+        raise ValueError("forms must be more frequent than their words, or following them may never end")
     near = near_words(words).withColumnRenamed("wid", "n_wid")
     joined = words.join(near, F.col("wid") == F.col("n_wid"), "left")
     has = F.col("best.n") >= ratio * F.col("n")

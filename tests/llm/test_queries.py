@@ -30,6 +30,7 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(rows, DOCUMENT).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(0, "u", "<article><p>A text that is long enough to be read, with a comma.</p></article>"), (1, "v", None), (1, "v", "")], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame([(0, texts()[0]), (1, "nothing like this anywhere in here"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(0, [0.5], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder
 
@@ -37,7 +38,7 @@ def tables(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, tables, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 

@@ -22,14 +22,16 @@ OPERATORS = {
 }
 
 
-def _modules():
-    for n, (module, name) in sorted(OPERATORS.items()):
-        yield name, importlib.import_module(f"{__package__}.{module}")
+def part(n: int) -> tuple[dict, dict[str, str]]:
+    """The query of operator n and its SQL, if it has one."""
+    module, name = OPERATORS[n]
+    found = importlib.import_module(f"{__package__}.{module}")
+    return {name: getattr(found, name)}, found.ORACLE
 
 
 def queries() -> dict:
-    return {name: getattr(module, name) for name, module in _modules()}
+    return {name: f for n in sorted(OPERATORS) for name, f in part(n)[0].items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for _, module in _modules() for name, sql in module.ORACLE.items()}
+    return {name: sql for n in sorted(OPERATORS) for name, sql in part(n)[1].items()}

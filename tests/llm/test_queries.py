@@ -140,7 +140,7 @@ def test_missing_libraries_leave_the_library(monkeypatch):
             monkeypatch.delitem(sys.modules, name)
     monkeypatch.setitem(sys.modules, "ahocorasick", None)
     left = entry.queries()
-    assert "backlinks" in left and "op5_decontamination" not in left
+    assert "backlinks" in left and "op5_decontamination" not in left and "op1_line_dedup" in left and "pipeline" not in left
     assert set(entry.oracle_sql()) <= set(left)
 
 

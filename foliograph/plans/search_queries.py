@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as X
+from foliograph.operators import retrieval as R
 from foliograph.operators import search as S
 from foliograph.plans.registry import query, table
+from foliograph.sources.scratch import scratch_folder, written
 
 UNION = """
 d AS (SELECT 'doc:' || doc_id AS id, 'sec' AS kind, text FROM documents
@@ -88,3 +90,27 @@ SELECT doc_id, CASE WHEN pat IS NULL THEN '' ELSE (CASE WHEN s > 1 THEN '…' EL
   || (CASE WHEN e < length(text) THEN '…' ELSE '' END) END AS snippet FROM c""")
 def snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.snippet(F.col("text"), "de la").alias("snippet"))
+
+
+RARE = BM25.replace("'the', 'que', 'ander'", "'the', 'ander', 'haonnt', 'ciondeque'")
+
+
+@query(f"WITH {UNION}, {RARE} SELECT id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, id LIMIT 25")
+def block_max_search(spark, sf_dir):
+    """The 25 best of all texts, from blocks that can reach them."""
+    index = R.write_block_index(every_text(spark, sf_dir), scratch_folder(spark), {"text": 1.0})
+    return R.top_k(index, "the ander haonnt ciondeque", 25).select("id", F.round("score", 6).alias("score"))
+
+
+@query(r"""
+WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+')) AS term FROM documents),
+w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+')) AS word FROM benchmark),
+a AS (SELECT word, CAST(floor(length(word) * 0.15 + 0.5) AS INTEGER) AS most FROM w),
+m AS (SELECT word, term, levenshtein(replace(word, 'ß', 'S'), replace(term, 'ß', 'S')) AS d FROM a JOIN t ON most > 0 AND abs(length(word) - length(term)) <= most AND word <> term WHERE levenshtein(replace(word, 'ß', 'S'), replace(term, 'ß', 'S')) <= most)
+SELECT word, count(*) AS near, CAST(sum(d) AS BIGINT) AS edits, min(term) AS first FROM m GROUP BY word""")
+def fuzzy_dictionary(spark, sf_dir):
+    """For every word of the benchmark the terms of the documents that a fuzzy search takes it for."""
+    words = lambda t: table(spark, sf_dir, t).select(F.explode(X.tokens(F.col("text"))).alias("term")).distinct()
+    filed = written(words("documents").select(F.explode(R.deletion_keys(F.col("term"))).alias("key"), "term"))
+    found = R.fuzzy_terms(words("benchmark").withColumnRenamed("term", "word"), filed, S.FUZZY)
+    return found.groupBy("word").agg(F.count("*").alias("near"), F.sum(F.col("distance").cast("long")).alias("edits"), F.min("term").alias("first"))

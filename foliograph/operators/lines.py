@@ -150,11 +150,16 @@ def chapters(lines: DataFrame, pattern: str = TOC_CHAPTER) -> DataFrame:
     return step.where(F.rlike("u", F.lit(pattern))).select("doc_id", F.regexp_extract("u", pattern, 1).cast("int").alias("num"), F.coalesce(rest, "next", F.lit("")).alias("title"))
 
 
+def _document(lines: DataFrame) -> list[str]:
+    """The key of a document, where lines are of several."""
+    return ["doc_id"] if "doc_id" in lines.columns else []
+
+
 def listed_tables(lines: DataFrame) -> DataFrame:
-    """(id, title) of the general tables that the contents list, the first of each id."""
+    """(doc_id, id, title) of the general tables that the contents list, the first of each id in its document."""
     pattern = r"^Tabla\s+(\d{1,2}[A-Z]?(?:\([A-Z]\))?)\.?\s*[-.]?\s*(.*)$"
-    found = lines.where(F.rlike(F.trim("text"), F.lit(pattern))).select(F.regexp_extract(F.trim("text"), pattern, 1).alias("id"), F.regexp_extract(F.trim("text"), pattern, 2).alias("title"), "line_no")
-    return found.groupBy("id").agg(F.min_by("title", "line_no").alias("title"))
+    found = lines.where(F.rlike(F.trim("text"), F.lit(pattern))).select(*_document(lines), F.regexp_extract(F.trim("text"), pattern, 1).alias("id"), F.regexp_extract(F.trim("text"), pattern, 2).alias("title"), "line_no")
+    return found.groupBy(*_document(lines), "id").agg(F.min_by("title", "line_no").alias("title"))
 
 
 def find_articles(lines: DataFrame, toc: DataFrame, body_page: int = 9) -> DataFrame:
@@ -165,11 +170,11 @@ def find_articles(lines: DataFrame, toc: DataFrame, body_page: int = 9) -> DataF
 
 
 def census(lines: DataFrame) -> DataFrame:
-    """(article, parts, sections): letters of the parts and numbers of the sections that head a line."""
+    """(doc_id, article, parts, sections): letters of the parts and numbers of the sections that head a line."""
     u = unaccent(F.trim("text"))
     part = F.when(F.rlike(u, F.lit(PART)), F.regexp_extract(u, PART, 1))
     section = F.when(F.rlike(u, F.lit(SECTION)) & (F.regexp_extract(u, SECTION, 1) == F.col("article").cast("string")), F.regexp_extract(u, SECTION, 2).try_cast("int"))
-    return lines.groupBy("article").agg(F.array_sort(F.collect_set(part)).alias("parts"), F.array_sort(F.collect_set(section)).alias("sections"))
+    return lines.groupBy(*_document(lines), "article").agg(F.array_sort(F.collect_set(part)).alias("parts"), F.array_sort(F.collect_set(section)).alias("sections"))
 
 
 def keep_first(df: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -181,11 +186,11 @@ def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def appendices(lines: DataFrame, page: int = 700) -> DataFrame:
-    """(letter, title) of the appendices that start on the given page or later, the first of each letter."""
+    """(doc_id, letter, title) of the appendices that start on the given page or later, the first of each letter in its document."""
     pattern = r"^APENDICE\s+([A-Z])\.?\s*(.*)$"
     u = unaccent(F.trim("text"))
-    found = lines.where((F.col("page") >= page) & F.rlike(u, F.lit(pattern))).select("page", "line_no", F.regexp_extract(u, pattern, 1).alias("letter"), F.regexp_extract(u, pattern, 2).alias("title"))
-    return found.groupBy("letter").agg(F.min_by("title", F.struct("page", "line_no")).alias("title"), F.min("page").alias("page"))
+    found = lines.where((F.col("page") >= page) & F.rlike(u, F.lit(pattern))).select(*_document(lines), "page", "line_no", F.regexp_extract(u, pattern, 1).alias("letter"), F.regexp_extract(u, pattern, 2).alias("title"))
+    return found.groupBy(*_document(lines), "letter").agg(F.min_by("title", F.struct("page", "line_no")).alias("title"), F.min("page").alias("page"))
 
 
 def ordered_text(df: DataFrame, key: list[str], order: str, text: str, name: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from foliograph.functions.text import collapse, unaccent
 from foliograph.operators import lines as L
+from foliograph.sources.scratch import written
 
 RECORD = "rec string, id string, parent_id string, root_id string, article int, kind string, label string, level int, ord long, part string, page int, title string, text string, seq long, ref string, w int, h int"
 MARKERS = ("alpha", "paren", "num", "letter")
@@ -200,20 +201,43 @@ def item_ids(records: DataFrame) -> DataFrame:
     return below.select("doc_id", "root_id", F.col("i.id").alias("items"))
 
 
-def ancestors(edges: DataFrame, child: str, parent: str, depth: int = 16) -> DataFrame:
-    """(child, ancestor, distance) over a parent column, by repeated joins while anything is added. Nesting is short by nature; if it goes on beyond
-    `depth` levels, as in a cycle, that is an error, not a cut."""
+def ancestors(edges: DataFrame, child: str, parent: str, depth: int | None = None) -> DataFrame:
+    """(child, ancestor, distance) over a parent column, by path doubling: after k rounds all distances up to 2 ** k are there, so a chain of n takes
+    log2(n) rounds, each over written tables. A cycle is an error, as is nesting beyond `depth` levels if that is given."""
     pairs = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("ancestor"))
-    out = level = pairs.withColumn("distance", F.lit(1))
-    for d in range(2, depth + 2):
-        up = pairs.select(F.col("child").alias("c2"), F.col("ancestor").alias("a2"))
-        level = level.join(up, F.col("ancestor") == F.col("c2")).select("child", F.col("a2").alias("ancestor"), F.lit(d).alias("distance"))
-        if (d > 2 or d > depth) and level.isEmpty():
-            break
-        if d > depth:
-            raise ValueError(f"nested deeper than {depth} levels")
-        out = out.unionByName(level)
-    return out
+    known = jump = written(pairs.withColumn("distance", F.lit(1)))
+    while True:
+        _check_nesting(known, depth)
+        up = jump.select("child", F.col("ancestor").alias("middle"), F.col("distance").alias("d1"))
+        above = lambda df: df.select(F.col("child").alias("m"), F.col("ancestor").alias("top"), F.col("distance").alias("d2"))
+        through = lambda df: up.join(above(df), F.col("middle") == F.col("m")).select("child", F.col("top").alias("ancestor"), (F.col("d1") + F.col("d2")).alias("distance"))
+        longer = written(through(known))
+        if longer.isEmpty():
+            return known
+        known, jump = written(known.unionByName(longer)), written(through(jump))
+
+
+def _check_nesting(known: DataFrame, depth: int | None) -> None:
+    if not known.where(F.col("child") == F.col("ancestor")).isEmpty():
+        raise ValueError("nested deeper than any level: the parents of a node lead back to it")
+    if depth is not None and not known.where(F.col("distance") > depth).isEmpty():
+        raise ValueError(f"nested deeper than {depth} levels")
+
+
+def roots(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(child, root, depth) of every child with one parent: its topmost ancestor and how far up that is, by pointer doubling. Each round holds one row for a child,
+    so chains of any length do; a cycle is an error."""
+    at = written(edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("root"), F.lit(1).cast("long").alias("depth")))
+    n = at.count()
+    while True:
+        up = at.select(F.col("child").alias("u"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"))
+        joined = at.join(up, F.col("root") == F.col("u"), "left")
+        at = written(joined.select("child", F.coalesce("u_root", "root").alias("root"), (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth"), F.col("u").isNotNull().alias("moved")))
+        if not at.where((F.col("child") == F.col("root")) | (F.col("depth") > n)).isEmpty():
+            raise ValueError("nested deeper than any level: the parents of a node lead back to it")
+        if at.where("moved").isEmpty():
+            return at.drop("moved")
+        at = at.drop("moved")
 
 
 def glossary(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

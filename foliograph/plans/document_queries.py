@@ -14,17 +14,17 @@ from foliograph.plans.registry import query, table
 from foliograph.plans.search_queries import UNION, every_text
 
 # A supplier is an article. Its line items, in order, are ten kinds of lines: a section, a note, three letters, two numbers below the
-# last of these, a text that goes on, a fourth letter and an exception.
+# last of these, a text that goes on, a fourth letter and an exception. After 999 sections the article goes on in a further document.
 MADE = """
 i AS (SELECT l_suppkey, l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS i FROM lineitem),
-m AS (SELECT 'd' || (l_suppkey // 900) AS doc_id, (100 + l_suppkey % 900)::INTEGER AS article, i, i % 10 AS k, l_suppkey, l_partkey, l_orderkey,
-      (100 + l_suppkey % 900) || '-' || (i // 10 + 1) AS sec FROM i WHERE i < 9990)"""
+m AS (SELECT 'd' || (l_suppkey // 900) || '.' || (i // 9990) AS doc_id, (100 + l_suppkey % 900)::INTEGER AS article, i % 9990 AS i, i % 10 AS k, l_suppkey, l_partkey, l_orderkey,
+      (100 + l_suppkey % 900) || '-' || (i % 9990 // 10 + 1) AS sec FROM i)"""
 
 
 def made_lines(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    li = li.withColumn("i", F.row_number().over(order) - 1).where("i < 9990").withColumn("k", F.col("i") % 10)
+    li = li.withColumn("i", F.row_number().over(order) - 1).withColumn("more", F.floor(F.col("i") / 9990)).withColumn("i", F.col("i") % 9990).withColumn("k", F.col("i") % 10)
     article = (F.lit(100) + F.col("l_suppkey") % 900).cast("int")
     part, head = F.col("l_partkey").cast("string"), F.concat(article.cast("string"), F.lit("-"), F.floor(F.col("i") / 10 + 1).cast("string"))
     said = {0: F.concat(head, F.lit(". Orden "), F.col("l_orderkey").cast("string"), F.lit(". Pieza "), part), 1: F.concat(F.lit("NOTA 1: Aviso "), part), 7: F.concat(F.lit("sigue  "), part), 9: F.concat(F.lit("Excepción: Salvo "), part)}
@@ -34,11 +34,11 @@ def made_lines(spark, sf_dir):
     for k, t in said.items():
         text = F.when(F.col("k") == k, t).otherwise(text)
     none = F.lit(None).cast("int")
-    return li.select(F.concat(F.lit("d"), F.floor(F.col("l_suppkey") / 900).cast("string")).alias("doc_id"), article.alias("article"), F.col("i").cast("long").alias("line_no"), F.lit(12).alias("page"), F.lit("text").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("ref"), none.alias("w"), none.alias("h"))
+    return li.select(F.concat(F.lit("d"), F.floor(F.col("l_suppkey") / 900).cast("string"), F.lit("."), F.col("more").cast("string")).alias("doc_id"), article.alias("article"), F.col("i").cast("long").alias("line_no"), F.lit(12).alias("page"), F.lit("text").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("ref"), none.alias("w"), none.alias("h"))
 
 
 @query(f"""
-WITH {MADE}, n AS (SELECT *, CASE k WHEN 2 THEN 'a' WHEN 3 THEN 'b' WHEN 4 THEN 'c' WHEN 5 THEN '1' WHEN 6 THEN '2' WHEN 8 THEN 'd' ELSE sec END AS label, lead(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY i) AS next FROM m)
+WITH {MADE}, n AS (SELECT *, CASE k WHEN 2 THEN 'a' WHEN 3 THEN 'b' WHEN 4 THEN 'c' WHEN 5 THEN '1' WHEN 6 THEN '2' WHEN 8 THEN 'd' ELSE sec END AS label, lead(l_partkey) OVER (PARTITION BY l_suppkey, doc_id ORDER BY i) AS next FROM m)
 SELECT doc_id, sec || CASE WHEN k = 0 THEN '' WHEN k IN (5, 6) THEN '(c)(' || label || ')' ELSE '(' || label || ')' END AS id,
   CASE WHEN k = 0 THEN NULL WHEN k IN (5, 6) THEN sec || '(c)' ELSE sec END AS parent_id, sec AS root_id, article, CASE WHEN k = 0 THEN 'section' WHEN k IN (5, 6) THEN 'paren' ELSE 'alpha' END AS kind,
   label, CASE WHEN k = 0 THEN 0 WHEN k IN (5, 6) THEN 2 ELSE 1 END::INTEGER AS level, CASE WHEN k = 0 THEN 'Orden ' || l_orderkey END AS title,
@@ -57,7 +57,7 @@ def parsed_annotations(spark, sf_dir):
 
 
 @query(f"""
-WITH {MADE} SELECT article, []::VARCHAR[] AS parts, list_sort(list(DISTINCT (i // 10 + 1)::INTEGER)) AS sections FROM m WHERE k = 0 GROUP BY article""")
+WITH {MADE} SELECT doc_id, article, []::VARCHAR[] AS parts, list_sort(list(DISTINCT (i // 10 + 1)::INTEGER)) AS sections FROM m WHERE k = 0 GROUP BY doc_id, article""")
 def section_census(spark, sf_dir):
     return L.census(made_lines(spark, sf_dir))
 
@@ -166,14 +166,16 @@ def drawn_columns(spark, sf_dir):
 # A caption for each order, grids below it and on the pages after.
 @query("""
 WITH o AS (SELECT 'd' || (o_custkey % 3) AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) - 1 AS n, o_custkey % 4 AS more, o_totalprice > 100000 AS far FROM orders),
-h AS (SELECT doc_id, n, (110 + n // 99) || '-' || (n % 99 + 1) AS id, 20 + n * 6 AS page, more, far FROM o WHERE n // 99 < 880),
+q AS (SELECT doc_id || '.' || (n // 87120) AS doc_id, n % 87120 AS n, more, far FROM o),
+h AS (SELECT doc_id, n, (110 + n // 99) || '-' || (n % 99 + 1) AS id, 20 + n * 6 AS page, more, far FROM q),
 p AS (SELECT *, unnest(range(0, more + 1)) AS j FROM h)
 SELECT doc_id, id, (page + j)::INTEGER AS page, CASE WHEN j = 0 THEN 400.0 ELSE 30.0 END AS y0, CASE WHEN j < more OR far THEN 770.0 ELSE 500.0 END AS y1 FROM p""")
 def table_regions(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("doc", F.col("o_custkey") % 3)
     n = F.row_number().over(Window.partitionBy("doc").orderBy("o_orderkey")) - 1
-    o = o.withColumn("n", n).where(F.floor(F.col("n") / 99) < 880)
-    doc, page = F.concat(F.lit("d"), F.col("doc").cast("string")), (F.lit(20) + F.col("n") * 6).cast("int")
+    # after 880 articles of 99 tables a further document begins
+    o = o.withColumn("n", n).withColumn("more_docs", F.floor(F.col("n") / 87120)).withColumn("n", F.col("n") % 87120)
+    doc, page = F.concat(F.lit("d"), F.col("doc").cast("string"), F.lit("."), F.col("more_docs").cast("string")), (F.lit(20) + F.col("n") * 6).cast("int")
     text = F.concat(F.lit("Tabla "), (F.lit(110) + F.floor(F.col("n") / 99)).cast("string"), F.lit("-"), (F.col("n") % 99 + 1).cast("string"), F.lit(".- Titulo"))
     lines = o.select(doc.alias("doc_id"), page.alias("page"), F.lit(400.0).alias("y"), text.alias("text"))
     heads = D.captions(lines, L.CAPTION_TITLE)

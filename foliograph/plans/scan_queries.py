@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from foliograph.operators import lines as L
 from foliograph.operators import scan as P
+from foliograph.operators import tree as T
 from foliograph.plans.registry import query, table
 
 
@@ -61,3 +62,15 @@ def stream_numbers(spark, sf_dir):
     split = L.split_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
     stream = split.select(F.lit("all").alias("doc_id"), F.col("doc_id").alias("page"), F.col("line_no").alias("y"), F.lit(0).alias("ord"))
     return L.merge_stream(stream, even=True).groupBy(F.col("page").alias("doc_id")).agg(F.min("line_no").alias("first_line"), F.count("*").alias("lines"))
+
+
+@query("""
+WITH RECURSIVE i AS (SELECT l_suppkey AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem),
+c AS (SELECT s, k, 1 AS depth FROM i WHERE k = 2 UNION ALL SELECT i.s, i.k, depth + 1 FROM c JOIN i ON i.s = c.s AND i.k = c.k + 1)
+SELECT s || ':1' AS root, count(*) AS below, CAST(max(depth) AS BIGINT) AS deepest, CAST(sum(depth) AS BIGINT) AS depths FROM c GROUP BY s""")
+def supply_chains(spark, sf_dir):
+    """Every line item hangs on the one before it of its supplier: chains of hundreds, thousands on larger tables."""
+    li = L.merge_stream(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("y"), F.col("l_partkey").alias("ord")), even=True)
+    at = lambda k: F.concat("doc_id", F.lit(":"), k.cast("string"))
+    edges = li.select(at(F.col("line_no")).alias("child"), F.when(F.col("line_no") > 1, at(F.col("line_no") - 1)).alias("parent"))
+    return T.roots(edges, "child", "parent").groupBy("root").agg(F.count("*").alias("below"), F.max("depth").alias("deepest"), F.sum("depth").alias("depths"))

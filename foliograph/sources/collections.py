@@ -78,7 +78,8 @@ def write_articles(nodes: DataFrame, path: str, without: int = 100) -> None:
 
 def index_report(articles: DataFrame, census: DataFrame) -> DataFrame:
     """(ord, value): the plain-text index, a line for each article, and how many census rows disagree with it."""
-    a = articles.join(census.withColumnRenamed("article", "num"), "num", "left")
+    key = ["doc_id", "num"] if "doc_id" in articles.columns and "doc_id" in census.columns else ["num"]
+    a = articles.join(census.withColumnRenamed("article", "num"), key, "left")
     line = F.concat(F.lpad(F.col("num").cast("string"), 4, " "), F.lit("  "), F.rpad(truncate(F.col("title"), 60), 60, " "), F.lit("  "), F.array_join(F.coalesce("parts", F.array().cast("array<string>")), ""), F.lit("  "), F.size(F.coalesce("sections", F.array().cast("array<int>"))).cast("string"))
     missing = a.agg(F.count_if(F.col("sections").isNull()).alias("n")).select(F.lit(10_000_000).alias("ord"), F.concat(F.lit("discrepancies: "), F.col("n").cast("string")).alias("value"))
     return a.select(F.col("num").alias("ord"), line.alias("value")).unionByName(missing)

@@ -27,17 +27,68 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+def _stirling_rest(n: int) -> float:
+    """log n! less Stirling's formula for it; the series is exact to double precision from 16 on."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    x = 1 / (n * n)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - x / 1188) * x) * x) * x) / n
+
+
+def _deviance(x: int, mean: float) -> float:
+    """x log(x / mean) + mean - x, without the loss of digits where x is near the mean."""
+    if abs(x - mean) < 0.1 * (x + mean):
+        v = (x - mean) / (x + mean)
+        total, term, j = (x - mean) * v, 2 * x * v, 1
+        while True:
+            term *= v * v
+            j += 2
+            if total + term / j == total:
+                return total
+            total += term / j
+    return x * math.log(x / mean) + mean - x
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """log of the binomial probability by its saddle point; for large n, where the terms of log-factorials would cancel, too."""
+    if x == 0:
+        return n * math.log1p(-p)
+    if x == n:
+        return n * math.log(p)
+    return _stirling_rest(n) - _stirling_rest(x) - _stirling_rest(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p)) + 0.5 * math.log(n / (2 * math.pi * x * (n - x)))
+
+
+def log_hypergeometric(x: int, good: int, bad: int, draws: int) -> float:
+    """log of the probability of x good ones among the draws."""
+    total = good + bad
+    if draws in (0, total):
+        return 0.0
+    p = draws / total
+    return _log_binomial(x, good, p) + _log_binomial(draws - x, bad, p) - _log_binomial(draws, total, p)
+
+
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """Exact draw by inversion from the mode outward, for populations of any size."""
+    """Draw exact to double precision, for populations of any size: by inversion from the mode outward where the law is narrow, else by ratio of uniforms
+    (Stadlober), in a bounded number of steps on average."""
     low, high = max(0, draws - bad), min(good, draws)
     if low == high:
         return low
-    mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-
-    def log_choose(n: int, k: int) -> float:
-        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-
-    p = math.exp(log_choose(good, mode) + log_choose(bad, draws - mode) - log_choose(good + bad, draws))
+    total = good + bad
+    if 2 * draws > total:
+        return good - hypergeometric(rng, good, bad, total - draws)
+    if good > bad:
+        return draws - hypergeometric(rng, bad, good, draws)
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    top = log_hypergeometric(mode, good, bad, draws)
+    spread = math.sqrt(draws * (good / total) * (bad / total) * ((total - draws) / max(1, total - 1)))
+    if spread > 30:
+        middle, width = draws * good / total + 0.5, 2 * math.sqrt(2 / math.e) * math.sqrt(spread * spread + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+        while True:
+            x = 1 - rng.random()
+            at = math.floor(middle + width * (rng.random() - 0.5) / x)
+            if low <= at <= high and 2 * math.log(x) <= log_hypergeometric(at, good, bad, draws) - top:
+                return at
+    p = math.exp(top)
     u = rng.random() - p
     up = down = mode
     p_up = p_down = p

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from foliograph.operators import intervals as I
 from foliograph.operators import lines as L
 from foliograph.operators import scan as P
 from foliograph.operators import tree as T
@@ -74,3 +75,17 @@ def supply_chains(spark, sf_dir):
     at = lambda k: F.concat("doc_id", F.lit(":"), k.cast("string"))
     edges = li.select(at(F.col("line_no")).alias("child"), F.when(F.col("line_no") > 1, at(F.col("line_no") - 1)).alias("parent"))
     return T.roots(edges, "child", "parent").groupBy("root").agg(F.count("*").alias("below"), F.max("depth").alias("deepest"), F.sum("depth").alias("depths"))
+
+
+@query("""
+WITH p AS (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_quantity FROM lineitem),
+z AS (SELECT o_orderkey, CAST(round(o_totalprice * 20) AS BIGINT) AS lo, CAST(round(o_totalprice * 20) AS BIGINT) + o_orderkey % 700 AS hi FROM orders)
+SELECT o_orderkey, count(*) AS words, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM p JOIN z ON cents BETWEEN lo AND hi GROUP BY o_orderkey""")
+def zones_of_one_page(spark, sf_dir):
+    """Every line item is a word, every order a zone, all of one page: the words in each zone."""
+    cents = lambda c: F.round(c).cast("long")
+    words = table(spark, sf_dir, "lineitem").select(F.lit(1).alias("page"), cents(F.col("l_extendedprice") * 100).alias("at"), "l_quantity")
+    lo = cents(F.col("o_totalprice") * 20)
+    zones = table(spark, sf_dir, "orders").select(F.lit(1).alias("page"), "o_orderkey", lo.alias("lo"), (lo + F.col("o_orderkey") % 700).alias("hi"))
+    pairs = I.interval_join(words, zones, ["page"], ("at", "at"), ("lo", "hi"), unit=64)
+    return pairs.groupBy("o_orderkey").agg(F.count("*").alias("words"), F.sum("l_quantity").cast("long").alias("quantity"))

@@ -1,5 +1,6 @@
 """Clusters, islands, bands, candidates, cells, corrections and review lists."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliograph.operators import grid as D
@@ -176,3 +177,24 @@ def review_signals(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+@query("""
+WITH i AS (SELECT o_custkey // 10 AS k, row_number() OVER (PARTITION BY o_custkey // 10 ORDER BY o_orderkey) - 1 AS row, o_orderkey, o_custkey FROM orders)
+SELECT k::VARCHAR AS table_id, (row // 20 + 1)::INTEGER AS page, row % 20 AS row, c::INTEGER AS col, CASE c WHEN 0 THEN 'o' || o_orderkey WHEN 1 THEN o_custkey || ' n' ELSE (o_orderkey % 7)::VARCHAR END AS t, 1 AS cs, 1 AS rs
+FROM i, (SELECT unnest([0, 1, 2]) AS c)""")
+def tables_from_words(spark, sf_dir):
+    """The orders of ten customers are a table of words in three columns without rules, twenty rows a page: the best layout of each page, and the cells that it gives back."""
+    k = F.floor(F.col("o_custkey") / 10)
+    order = Window.partitionBy(k).orderBy("o_orderkey")
+    i = table(spark, sf_dir, "orders").select(k.cast("string").alias("table_id"), (F.row_number().over(order) - 1).alias("n"), "o_orderkey", "o_custkey")
+    i = i.withColumn("page", F.floor(F.col("n") / 20 + 1).cast("int")).withColumn("row", F.col("n") % 20)
+    i = i.withColumn("top", F.col("row") * 20.0 + 10)
+    word = lambda x, width, t: F.struct(F.lit(float(x)).alias("x0"), F.lit(float(x + width)).alias("x1"), t.cast("string").alias("text"))
+    said = F.array(word(0, 40, F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))), word(100, 30, F.col("o_custkey")), word(132, 5, F.lit("n")), word(200, 20, F.col("o_orderkey") % 7))
+    words = i.select("table_id", "page", "row", "top", F.posexplode(said).alias("at", "w")).select("table_id", "page", (F.col("row") * 4 + F.col("at")).alias("ord"), "w.x0", F.col("top").alias("y0"), "w.x1", (F.col("top") + 8).alias("y1"), "w.text")
+    bands = i.select("table_id", "page", "row", (F.col("top") - 5).alias("y0"), (F.col("top") + 15).alias("y1"))
+    rules = spark.createDataFrame([], "table_id string, page int, orient string, pos double, lo double, hi double")
+    cells = D.merged_cells(words, rules, bands, D.best_layout(words, bands, rules))
+    rows = cells.select("table_id", "page", F.posexplode("rows").alias("row", "cells"))
+    return rows.select("table_id", "page", F.col("row").cast("long").alias("row"), F.posexplode("cells").alias("col", "c")).select("table_id", "page", "row", "col", "c.t", "c.cs", "c.rs")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from foliograph.operators import intervals as I
 from foliograph.operators import lines as L
+from foliograph.operators import order_stats as Q
 from foliograph.operators import scan as P
 from foliograph.operators import tree as T
 from foliograph.plans.registry import query, table
@@ -89,3 +90,20 @@ def zones_of_one_page(spark, sf_dir):
     zones = table(spark, sf_dir, "orders").select(F.lit(1).alias("page"), "o_orderkey", lo.alias("lo"), (lo + F.col("o_orderkey") % 700).alias("hi"))
     pairs = I.interval_join(words, zones, ["page"], ("at", "at"), ("lo", "hi"), unit=64)
     return pairs.groupBy("o_orderkey").agg(F.count("*").alias("words"), F.sum("l_quantity").cast("long").alias("quantity"))
+
+
+@query("""
+WITH s AS (SELECT l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem WHERE l_extendedprice IS NOT NULL),
+q AS (SELECT unnest([0.0::DOUBLE, 0.01::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE, 1.0::DOUBLE]) AS share)
+SELECT l_returnflag, share, n, l_extendedprice FROM s, q WHERE r = least(CAST(floor(share * n) AS BIGINT), n - 1)""")
+def price_quantiles(spark, sf_dir):
+    """Exact order statistics of three keys that hold all rows: only the values about each rank are ordered."""
+    return Q.order_statistics(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", (0.0, 0.01, 0.25, 0.5, 0.9, 1.0))
+
+
+@query("""
+WITH s AS (SELECT l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice) - 1 AS r, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem WHERE l_extendedprice IS NOT NULL)
+SELECT l_partkey, 0.5::DOUBLE AS share, n, l_extendedprice FROM s WHERE r = n // 2""")
+def part_medians(spark, sf_dir):
+    """The upper median price of each part, large parts narrowed down and small ones ordered whole."""
+    return Q.order_statistics(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_extendedprice", (0.5,), hot=500)

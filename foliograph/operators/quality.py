@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,6 +113,46 @@ def check(name: str, value: DataFrame, column: str, floor: float | None = None,
     return value.select(F.lit(name).alias("check"), v.alias("value"), F.lit(float(floor if floor is not None else ceiling)).alias("bound"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
+@dataclass(frozen=True)
+class Measure:
+    """A line of the gate: an aggregate with a floor or a ceiling (0 if neither is given)."""
+
+    name: str
+    value: Column
+    floor: float | None = None
+    ceiling: float | None = None
+
+    @property
+    def bound(self) -> float:
+        return float(self.floor if self.floor is not None else self.ceiling or 0)
+
+
+def measured(df: DataFrame, *measures: Measure) -> DataFrame:
+    """A row (check, value, bound, ok) for each measure, all from one aggregation over df; a value that is null fails."""
+    totals = df.agg(*[m.value.cast("double").alias(f"m{i}") for i, m in enumerate(measures)])
+    lines = [F.struct(F.lit(m.name).alias("check"), F.col(f"m{i}").alias("value"), F.lit(m.bound).alias("bound"), F.coalesce(F.col(f"m{i}") >= m.bound if m.floor is not None else F.col(f"m{i}") <= m.bound, F.lit(False)).alias("ok")) for i, m in enumerate(measures)]
+    return totals.select(F.inline(F.array(*lines)))
+
+
+def tallied(*tagged: tuple[DataFrame, Column, dict[str, Column]]) -> DataFrame:
+    """(_key, counts): every key of the given (frame, key, {count: of a row}) with the sums of its counts, 0 where a frame doesn't have the key.
+
+    Each frame is read once and all meet in one grouping, summed within tasks before they move, so that checks between collections (what is repeated, missing, empty or unknown) are
+    plain conditions on a key's counts. Keys of several kinds
+    are told apart by a prefix. Null keys are a key."""
+    names = sorted({n for _, _, counts in tagged for n in counts})
+    parts = []
+    for df, key, counts in tagged:
+        every = [F.coalesce(counts[n].cast("long"), F.lit(0).cast("long")).alias(n) if n in counts else F.lit(0).cast("long").alias(n) for n in names]
+        parts.append(df.select(key.cast("string").alias("_key"), *every))
+    return reduce(DataFrame.unionByName, parts).groupBy("_key").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def key_measures(tally: DataFrame, *measures: Measure) -> DataFrame:
+    """`measured` over a tally; an empty one measures 0."""
+    return measured(tally, *[Measure(m.name, F.coalesce(m.value, F.lit(0)), m.floor, m.ceiling) for m in measures])
+
+
 def none_of(name: str, offenders: DataFrame) -> DataFrame:
     """One row that is ok if the frame is empty."""
     return check(name, offenders.agg(F.count("*").alias("n")), "n", ceiling=0)

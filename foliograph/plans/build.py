@@ -62,30 +62,53 @@ def build(spark: SparkSession, source: str, target: str, gate: bool = True, floo
     broken = graph.broken(edges, index).withColumn("text", F.concat_ws(" -> ", "src", "dst"))
     shown = quality.examples("lost lines", lost, ["doc_id", "line_no"], "text").unionByName(quality.examples("broken references", broken, ["src", "dst"], "text"))
     kept(shown.unionByName(quality.examples("repeated ids", quality.duplicates(nodes, "id"), ["id"], "id")), "examples")
-    counts, floors = quality.counters(records), quality.FLOORS | (floors or {})
     positions = kept(grid.cell_positions(tables), "cells")
-    reliable = tables.agg(F.count_if(F.col("quality") >= quality.RELIABLE).alias("n"))
+    report = kept(gate_report(toc, records, nodes, notes, edges, index, terms, tables, positions, covered, quality.FLOORS | (floors or {})), "gate")
+    if gate:
+        quality.enforce(report)
+    return report
+
+
+def gate_report(toc, records, nodes, notes, edges, index, terms, tables, positions, covered, floors: dict[str, float]) -> DataFrame:
+    """The report of the gate. What concerns one collection is one aggregation over it; what relates nodes, notes, citations, the index and tables is one tally of their ids,
+    in which targets among tables bear the prefix of their citations and all others "id:"."""
+    M, count, one = quality.Measure, F.count("*"), F.lit(1)
+    plain = lambda c: F.concat(F.lit("id:"), c)
+    to_table = F.col("dst").startswith("tabla:")
+    other = F.rlike("dst", F.lit(r"^(parte|cap|art):"))
+    empty = F.col("parent_id").isNull() & (F.coalesce("text", F.lit("")) == "")
+    tally = quality.tallied(
+        (nodes, plain(F.col("id")), {"nodes": one, "empty": empty}),
+        (nodes.where("parent_id is not null"), plain(F.col("parent_id")), {"filled": one}),
+        (notes.where("node_id is not null"), plain(F.col("node_id")), {"filled": one}),
+        (edges.where(F.col("dst").isNotNull() & ~other), F.when(to_table, F.col("dst")).otherwise(plain(F.col("dst"))), {"cites_table": to_table, "cites_node": ~to_table}),
+        (index.where("id is not null"), plain(F.col("id")), {"indexed": one}),
+        (tables.where("id is not null"), F.concat(F.lit("tabla:"), "id"), {"tables": one}),
+    )
+    counters = quality.counters(records)
     numbered = nodes.where("parent_id is null").withColumn("number", F.regexp_extract("id", r"-(\d+)$", 1).try_cast("int"))
-    report = quality.report(
-        quality.check("articles", toc.agg(F.count("*").alias("n")), "n", floor=floors["articles"]),
-        *[quality.check(c, counts, c, floor=floors[c]) for c in ("sections", "items")],
-        quality.check("definitions", terms.agg(F.count("*").alias("n")), "n", floor=floors["definitions"]),
+    return quality.report(
+        quality.measured(toc, M("articles", count, floor=floors["articles"])),
+        quality.measured(counters, *[M(c, F.sum(c), floor=floors[c]) for c in ("sections", "items")]),
+        quality.measured(terms, M("definitions", count, floor=floors["definitions"])),
         quality.check("coverage_pct", covered, "coverage_pct", floor=floors["coverage_pct"]),
-        quality.check("tables", tables.agg(F.count("*").alias("n")), "n", floor=floors["tables"]),
-        quality.check("reliable tables", reliable, "n", floor=floors["reliable_tables"]),
-        quality.check("single-column tables", tables.agg(F.count_if(F.col("cols") < 2).alias("n")), "n", ceiling=quality.MOST_NARROW),
-        quality.none_of("broken references", graph.broken(edges, index)),
-        quality.none_of("references to unknown tables", graph.dangling(edges, "tabla", tables, "id")),
-        quality.none_of("repeated ids", quality.duplicates(nodes, "id")),
-        quality.none_of("empty sections", quality.empty_sections(nodes, notes)),
+        quality.measured(
+            tables,
+            M("tables", count, floor=floors["tables"]),
+            M("reliable tables", F.count_if(F.col("quality") >= quality.RELIABLE), floor=floors["reliable_tables"]),
+            M("single-column tables", F.count_if(F.col("cols") < 2), ceiling=quality.MOST_NARROW),
+        ),
+        quality.key_measures(
+            tally,
+            M("broken references", F.sum(F.when(F.col("indexed") == 0, F.col("cites_node")))),
+            M("references to unknown tables", F.sum(F.when(F.col("tables") == 0, F.col("cites_table")))),
+            M("repeated ids", F.count_if(F.col("nodes") > 1)),
+            M("empty sections", F.sum(F.when(F.col("filled") == 0, F.col("empty")))),
+        ),
         quality.none_of("sections out of order", quality.out_of_order(numbered, ["doc_id", "article"], ["ord"], "number")),
         quality.none_of("rows of uneven width", quality.uneven_rows(positions, tables)),
         quality.none_of("columns without data", quality.columns_without_data(positions, tables)),
     )
-    report = kept(report, "gate")
-    if gate:
-        quality.enforce(report)
-    return report
 
 
 if __name__ == "__main__":

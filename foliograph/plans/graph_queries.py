@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from foliograph.operators import graph as G
 from foliograph.operators import refs as R
 from foliograph.plans.registry import query, table
+from foliograph.sources.scratch import scratch_folder
+from foliograph.streaming import citations as C
 
 HREF = r'href="([^"]*)"'
 EDGES = """
@@ -12,10 +14,14 @@ e AS (SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, 'href="([^"]*)
 edges AS (SELECT src, dst, CASE WHEN starts_with(dst, '/') THEN 'local' WHEN starts_with(dst, '#') THEN 'anchor' ELSE 'absolute' END AS type FROM e WHERE src <> dst)"""
 
 
-def page_edges(spark, sf_dir):
-    found = R.mentions(table(spark, sf_dir, "pages"), HREF, "dst", id_="url", text="html")
+def typed_links(pages):
+    found = R.mentions(pages, HREF, "dst", id_="url", text="html")
     kind = F.when(F.col("dst").startswith("/"), "local").when(F.col("dst").startswith("#"), "anchor").otherwise("absolute")
-    return R.clean(found.withColumn("type", kind))
+    return found.withColumn("type", kind)
+
+
+def page_edges(spark, sf_dir):
+    return R.clean(typed_links(table(spark, sf_dir, "pages")))
 
 
 @query(f"WITH {EDGES} SELECT * FROM edges")
@@ -87,3 +93,12 @@ def described_ranking(spark, sf_dir):
     first = F.concat(F.lit("/"), F.split_part("p_name", F.lit(" "), F.lit(1)))
     index = table(spark, sf_dir, "part").groupBy(first.alias("id")).agg(F.min("p_name").alias("title"), F.min("p_size").alias("article"))
     return G.described(G.top_cited(page_edges(spark, sf_dir)), index)
+
+
+@query(f"WITH {EDGES} SELECT dst AS id, count(DISTINCT src) AS citations, count(*) AS edges FROM edges GROUP BY dst")
+def citations_in_batches(spark, sf_dir):
+    """The counts of all link targets, after the pages have come in three batches, the second of them twice."""
+    pages, target = table(spark, sf_dir, "pages"), scratch_folder(spark)
+    for batch in (0, 1, 1, 2):
+        C.merge_batch(typed_links(pages.where(F.pmod(F.xxhash64("page_id"), F.lit(3)) == batch)), target, batch)
+    return C.counts(spark, target)

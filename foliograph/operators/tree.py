@@ -20,16 +20,20 @@ RECORD = "rec string, id string, parent_id string, root_id string, article int,
 MARKERS = ("alpha", "paren", "num", "letter")
 
 
-def prepared(lines: DataFrame) -> DataFrame:
-    """Lines (doc_id, article, line_no, page, kind, text, ref, w, h) with their class, label and rest; sections out of order are text."""
-    text = F.trim("text")
-    u = unaccent(text)
+def _classes(lines: DataFrame) -> DataFrame:
+    """Lines with cls, what each is by itself, and number, that of a section's heading."""
+    u = unaccent(F.trim("text"))
     cls = F.when(F.col("kind") == "img", "img").when(F.col("kind") == "tbl", "tbl").otherwise(L.line_class(F.col("text")))
     own = F.regexp_extract(u, L.SECTION, 1) == F.col("article").cast("string")
     step = lines.withColumn("cls", cls).withColumn("cls", F.when((F.col("cls") == "section") & ~own, "text").when(F.col("cls").isin("article", "table_caption"), "text").otherwise(F.col("cls")))
-    step = step.withColumn("number", F.when(F.col("cls") == "section", F.regexp_extract(u, L.SECTION, 2).try_cast("int")))
-    step = L.accept_increasing(step, ["doc_id", "article"], ["line_no"], "number", "in_order")
-    step = step.withColumn("cls", F.when((F.col("cls") == "section") & ~F.col("in_order"), "text").otherwise(F.col("cls"))).where("cls <> 'blank'")
+    return step.withColumn("number", F.when(F.col("cls") == "section", F.regexp_extract(u, L.SECTION, 2).try_cast("int")))
+
+
+def _labels(step: DataFrame, *more: str) -> DataFrame:
+    """Lines that aren't blank with what their class makes of them."""
+    step = step.where("cls <> 'blank'")
+    text = F.trim("text")
+    u = unaccent(text)
     label = F.when(F.col("cls") == "section", F.concat_ws("-", F.regexp_extract(u, L.SECTION, 1), F.regexp_extract(u, L.SECTION, 2)))
     label = label.when(F.col("cls").isin("note", "exception"), F.trim(F.split_part(text, F.lit(":"), F.lit(1))))
     for c, p in (("part", L.PART), ("alpha", L.ALPHA), ("paren", L.PAREN), ("num", L.NUM), ("letter", L.LETTER)):
@@ -37,14 +41,25 @@ def prepared(lines: DataFrame) -> DataFrame:
     after_label = F.when(F.col("cls") == "section", F.regexp_replace(text, r"^\d{3}-\d{1,3}(?:\.-|\.)?\s*", "")).when(F.col("cls").isin("note", "exception"), F.regexp_replace(text, r"^[^:]*:\s*", ""))
     after_label = after_label.when(F.col("cls") == "paren", F.regexp_replace(text, r"^\(\d{1,2}\)\s*", "")).when(F.col("cls").isin("alpha", "letter", "num", "part"), F.regexp_replace(text, r"^[^.)]*[.)]\s*", ""))
     term, definition = F.regexp_extract(text, L.TERM, 1), F.regexp_extract(text, L.TERM, 2)
-    return step.select("doc_id", "article", "line_no", "page", "cls", label.alias("label"), after_label.alias("rest"), text.alias("line"), F.nullif(term, F.lit("")).alias("term"), definition.alias("definition"), "ref", "w", "h")
+    return step.select("doc_id", "article", "line_no", "page", "cls", label.alias("label"), after_label.alias("rest"), text.alias("line"), F.nullif(term, F.lit("")).alias("term"), definition.alias("definition"), "ref", "w", "h", *more)
+
+
+def prepared(lines: DataFrame) -> DataFrame:
+    """Lines (doc_id, article, line_no, page, kind, text, ref, w, h) with their class, label and rest; sections out of order are text."""
+    step = L.accept_increasing(_classes(lines), ["doc_id", "article"], ["line_no"], "number", "in_order")
+    return _labels(step.withColumn("cls", F.when((F.col("cls") == "section") & ~F.col("in_order"), "text").otherwise(F.col("cls"))))
+
+
+def classified(lines: DataFrame, *more: str) -> DataFrame:
+    """As `prepared`, line by line: each with its number, so that whoever reads them in order (`Fold.read_next`) finds the sections out of order. Runs on streams too."""
+    return _labels(_classes(lines), "number", *more)
 
 
 class Fold:
     """Reads the classified lines of one article and yields its records."""
 
     def __init__(self, article: int) -> None:
-        self.article, self.out, self.seq = article, [], 0
+        self.article, self.out, self.seq, self.count, self.most = article, [], 0, 0, 0
         self.section: dict | None = None
         self.open: list[dict] = []  # nested items, outermost first
         self.target: dict | None = None
@@ -59,10 +74,25 @@ class Fold:
         return self.open[-1] if self.open else self.section
 
     def add(self, rec: str, **fields) -> dict:
-        row = {"rec": rec, "article": self.article, "ord": len(self.out), "texts": [], "part": self.part} | fields
+        row = {"rec": rec, "article": self.article, "ord": self.count, "texts": [], "part": self.part} | fields
         self.out.append(row)
+        self.count += 1
         return row
 
+    def read_next(self, line) -> None:
+        """As read, for lines of `classified`: a section whose number isn't above all before it is text."""
+        if line.number is not None:
+            if line.number <= self.most:
+                line.cls = "text"
+            self.most = max(self.most, line.number)
+        self.read(line)
+
+    def done(self, all_: bool = False) -> list[dict]:
+        """The records that no later line can change, all at the end; they are given out once and forgotten."""
+        live = [] if all_ else [r for r in self.out if r is self.target or r is self.figure]
+        ready, self.out = [r for r in self.out if not any(r is x for x in live)], live
+        return [r | {"text": " ".join(" ".join(r["texts"]).split())} for r in ready]
+
     def attach(self, rec: str, line, **fields) -> dict | None:
         """A numbered record on the innermost open node, if there is one."""
         if self.owner is None:

@@ -4,13 +4,14 @@ the tables themselves, not by parsing."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foliograph.functions import tables
 from foliograph.functions import text as X
 from foliograph.operators import grid as D
 from foliograph.operators import lines as L
 from foliograph.operators import refs as R
 from foliograph.operators import search as S
 from foliograph.operators import tree as T
-from foliograph.plans.registry import query, table
+from foliograph.plans.registry import SQL, query, table
 from foliograph.plans.search_queries import UNION, every_text
 
 # A supplier is an article. Its line items, in order, are ten kinds of lines: a section, a note, three letters, two numbers below the
@@ -48,6 +49,14 @@ def parsed_nodes(spark, sf_dir):
     return T.nodes(T.parse(made_lines(spark, sf_dir))).select("doc_id", "id", "parent_id", "root_id", "article", "kind", "label", "level", "title", "text")
 
 
+@query(SQL["parsed_nodes"])
+def parsed_in_sql(spark, sf_dir):
+    """The same nodes by the table function, called from SQL."""
+    tables.register(spark)
+    lines = T.classified(made_lines(spark, sf_dir))
+    return spark.sql("SELECT doc_id, id, parent_id, root_id, article, kind, label, level, title, text FROM parse_lines(TABLE({lines})) WHERE rec = 'node'", lines=lines)
+
+
 @query(f"""
 WITH {MADE}
 SELECT doc_id, sec || CASE WHEN k = 1 THEN '' ELSE '(d)' END AS node_id, CASE WHEN k = 1 THEN 'note' ELSE 'exception' END AS kind, CASE WHEN k = 1 THEN 'NOTA 1' ELSE 'Excepción' END AS label,

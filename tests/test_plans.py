@@ -8,7 +8,7 @@ from foliograph.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 #: Those of the parse, whose depth is a fold over an article.
-PYTHON = {"parsed_nodes", "parsed_annotations", "items_below"}
+PYTHON = {"parsed_nodes", "parsed_in_sql", "parsed_annotations", "items_below"}
 
 
 def plan(df):

@@ -2,7 +2,7 @@
 
 The model backs off by interpolation: P(w | t, u) = s(t, u, w) + b(t, u) P(w | u), P(w | u) = s(u, w) + b(u) P(w), where
 s = c(context, w) / (c(context) + m), b = m / (c(context) + m) with m = PAIR_MASS or TRIPLE_MASS, and P(w) is the add-one unigram. s is stored as one byte on
-a logarithmic grid, and the count of a pair as a context of triples is read back from that byte. All counts are over all training
+a logarithmic grid. The count of a pair as a context of triples is exact: what that byte says, and the difference, which is sent beside it. All counts are over all training
 texts; two begin marks stand before a text.
 
 1. Texts become blocks of BLOCK tokens, written to the shared folder in buckets: word numbers of the block and 64-bit hashes of its
@@ -48,7 +48,7 @@ LOW, LEVELS = -12.0, 254  # the grid of codes 1 to 255: log10 from LOW to 0
 
 BLOCKS = "block long, n_tokens long, docs binary, texts binary, lengths binary, flags binary, tokens binary, vocabulary binary"
 REQUESTS = "block long, shard int, context binary, width binary, total binary, word binary, seen binary"
-ANSWERS = "block long, shard int, place binary, begin binary, value binary, n long, v long"
+ANSWERS = "block long, shard int, place binary, begin binary, value binary, rest binary, n long, v long"
 
 
 def squeezed(raw) -> bytes:
@@ -76,6 +76,15 @@ def _unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(_unpack(raw))
 
 
+def _pack_signed(x: np.ndarray) -> bytes:
+    return _pack(np.where(x < 0, -2 * x - 1, 2 * x))
+
+
+def _unpack_signed(raw: bytes) -> np.ndarray:
+    x = _unpack(raw)
+    return np.where(x % 2, -(x + 1) // 2, x // 2)
+
+
 def _schema(text: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in text.split(", "))])
@@ -194,9 +203,11 @@ class Block:
     def know_pairs(self, told: list[dict]) -> None:
         o = self.pair_order
         self.pair_code = np.zeros(self.before.size, np.uint8)
+        self.pair_count = np.zeros(self.before.size, np.int64)
         if told:
             self.pair_code[o] = np.concatenate([_codes(r["value"]) for r in told])
-        self.pair_count = np.where(self.pair_code > 0, np.maximum(1, np.rint(decode()[self.pair_code] * (self.pair_total + PAIR_MASS))), 0).astype(np.int64)
+            known = o[self.pair_code[o] > 0]
+            self.pair_count[known] = _estimate(self.pair_code[known], self.pair_total[known], PAIR_MASS) + np.concatenate([_unpack_signed(r["rest"]) for r in told])
         if told and told[0].get("place") is not None:
             found = self.pair_code[o] > 0
             self.pair_id, self.pair_place = np.zeros((2, self.before.size), np.int64)
@@ -255,6 +266,11 @@ def decode() -> np.ndarray:
     return p
 
 
+def _estimate(code: np.ndarray, total: np.ndarray, mass: float) -> np.ndarray:
+    """The counts that codes of probabilities stand for, to within the grid."""
+    return np.maximum(1, np.rint(decode()[code] * (total + mass))).astype(np.int64)
+
+
 def _told(requests: pa.Table, rows: list[dict]) -> pa.Table:
     shard = requests["shard"][0].as_py()
     return pa.Table.from_pylist([{"shard": shard} | r for r in rows], schema=_schema(ANSWERS))
@@ -290,7 +306,7 @@ def _answer_level(places: bool, mass: float):
             word = _distinct(word)[1]
         size = int(word.max(initial=0)) + 1
         key, at = _distinct(np.repeat(entry, np.concatenate(cols["width"])) * np.int64(size) + word)
-        count = np.bincount(at, np.concatenate(cols["seen"]), key.size)
+        count = np.bincount(at, np.concatenate(cols["seen"]), key.size).astype(np.int64)
         owner, word = key // size, key % size
         spans = np.zeros(context.size, np.int64)
         spans[owner] = word + 1  # of the last in each context
@@ -304,6 +320,8 @@ def _answer_level(places: bool, mass: float):
                 own = at[p : p + wrd.size]
                 row = {"block": block, "value": squeezed(code[own])}
                 if places:
+                    known = own[code[own] > 0]
+                    row["rest"] = _pack_signed(count[known] - _estimate(code[known], total[owner[known]], mass))
                     row |= {"place": _pack_sorted(place[own][code[own] > 0]), "begin": _pack_sorted(begin[entry[e : e + ctx.size]])}
                 rows.append(row)
                 e, p = e + ctx.size, p + wrd.size
@@ -375,12 +393,14 @@ def _scorer(shards: int, size: int, n: int, v: int):
 
 
 def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """df written to the shared folder in buckets of key, as a table of its own, so that grouping by key moves nothing."""
+    """df written to the shared folder in buckets of key, so that grouping by key moves nothing. Only a table of the catalog can say so; its name goes as soon as it is read, the files stay."""
     spark = df.sparkSession
     name = f"foliograph_blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(buckets, key).option("path", f"{scratch_root(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def score_texts(docs: DataFrame, held_out) -> DataFrame:
@@ -394,15 +414,15 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
         return own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(work, schema)
 
     def level(answers: DataFrame, k: int, *columns: str) -> DataFrame:
-        told = [F.col(c) if c in columns else F.lit(None).cast("binary").alias(c) for c in ("place", "begin", "value")]
+        told = [F.col(c) if c in columns else F.lit(None).cast("binary").alias(c) for c in ("place", "begin", "value", "rest")]
         return answers.where("block >= 0").select("block", "shard", F.lit(k).alias("level"), *told)
 
     words = materialize(map_rows(own, _ask_words(shards, size), REQUESTS).groupBy("shard").applyInArrow(answer_words, ANSWERS), "words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     counts = level(words, 1, "value")
     pairs = materialize(meet(level(words, 1, "place", "value"), _ask_pairs(shards, size), REQUESTS).groupBy("shard").applyInArrow(_answer_level(True, PAIR_MASS), ANSWERS), "pairs")
-    triples = materialize(meet(counts.unionByName(level(pairs, 2, "place", "begin", "value")), _ask_triples(shards, size), REQUESTS).groupBy("shard").applyInArrow(_answer_level(False, TRIPLE_MASS), ANSWERS), "triples")
-    told = counts.unionByName(level(pairs, 2, "value")).unionByName(level(triples, 3, "value"))
+    triples = materialize(meet(counts.unionByName(level(pairs, 2, "place", "begin", "value", "rest")), _ask_triples(shards, size), REQUESTS).groupBy("shard").applyInArrow(_answer_level(False, TRIPLE_MASS), ANSWERS), "triples")
+    told = counts.unionByName(level(pairs, 2, "value", "rest")).unionByName(level(triples, 3, "value"))
     parts = meet(told, _scorer(shards, size, n, v), SUMS)
     whole = parts.groupBy("text").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

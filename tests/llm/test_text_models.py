@@ -437,6 +437,27 @@ def test_packed_integers():
         assert (lm_scoring._unpack(lm_scoring._pack(x)) == x).all() and (lm_scoring._unpack_sorted(lm_scoring._pack_sorted(np.sort(x))) == np.sort(x)).all()
 
 
+def test_counts_of_pairs_are_exact():
+    """Whatever the grid makes of their probabilities, blocks learn how often their pairs occur."""
+    r = np.random.default_rng(6)
+    contexts, words, want, rows = np.arange(40) * 7, np.arange(60) * 3, Counter(), []
+    seen = {b: np.where(r.random((40, 60)) < 0.5, 0, (10 ** (6 * r.random((40, 60)))).astype(np.int64)) for b in (1, 2)}
+    total = sum(x.sum(axis=1) for x in seen.values())
+    for b, x in seen.items():
+        c, w = np.repeat(contexts, 60), np.tile(words, 40)
+        rows += [{"block": b} | m for m in lm_scoring._requests(np.zeros(c.size, np.int64), c, np.repeat(total, 60), w, x.ravel())]
+    told = lm_scoring._answer_level(True, lm_scoring.PAIR_MASS)(lm_scoring.pa.Table.from_pylist(rows, schema=lm_scoring._schema(lm_scoring.REQUESTS))).to_pylist()
+    want = (seen[1] + seen[2]).ravel()
+    off = 0
+    for row in told:
+        code = lm_scoring._codes(row["value"])
+        known = code > 0
+        guess = lm_scoring._estimate(code[known], np.repeat(total, 60)[known], lm_scoring.PAIR_MASS)
+        off += (guess != want[known]).sum()
+        assert (guess + lm_scoring._unpack_signed(row["rest"]) == want[known]).all() and (want[~known] == 0).all()
+    assert len(told) == 2 and off > 0
+
+
 def brute_scores(tokens, train):
     """{id: (n_known, base_score, score)} by plain counters."""
     begin, grams = b"\r", Counter()
@@ -471,6 +492,7 @@ def test_scores(spark, monkeypatch, block, shard):
     df = make(spark, texts).withColumn("score", F.lit("clash"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     rows = lm_scoring.score_texts(df, held).collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("foliograph_blocks")]
     got = {x.doc_id: x for x in rows}
     tokens = {i: [*(t or "").translate(ASCII_LOWER).encode().split(), b"\n"] for i, t in enumerate(texts)}
     train = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2}

@@ -27,9 +27,10 @@ def incoming_chunks(edges: DataFrame, most: int = CHUNK) -> DataFrame:
     return dealt.groupBy("id", "chunk").agg(F.array_sort(F.collect_list("src")).alias("sources"))
 
 
-def rollup(edges: DataFrame, delimiter: str = "(") -> DataFrame:
-    """Backlinks of the id up to the first delimiter."""
-    return incoming(edges.select("src", F.split_part("dst", F.lit(delimiter), F.lit(1)).alias("dst")))
+def rollup(edges: DataFrame, delimiter: str = "(", most: int | None = None) -> DataFrame:
+    """Backlinks of the id up to the first delimiter: an array for each id, or with `most` chunks as of incoming_chunks, as they are published."""
+    up = edges.select("src", F.split_part("dst", F.lit(delimiter), F.lit(1)).alias("dst"))
+    return incoming_chunks(up, most) if most else incoming(up)
 
 
 def top_cited(edges: DataFrame, n: int = 30) -> DataFrame:

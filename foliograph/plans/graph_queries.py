@@ -56,6 +56,12 @@ def backlinks_rollup(spark, sf_dir):
     return G.rollup(page_edges(spark, sf_dir), ",")
 
 
+@query(f"WITH {EDGES} SELECT DISTINCT split_part(dst, ',', 1) AS id, src FROM edges")
+def published_rollup(spark, sf_dir):
+    """The sources in all chunks of a published roll-up, the chunks of hot targets small enough here that there are many."""
+    return G.rollup(page_edges(spark, sf_dir), ",", most=50).select("id", F.explode("sources").alias("src"))
+
+
 @query(f"WITH {EDGES} SELECT type, count(*) AS edges FROM edges GROUP BY type")
 def edges_by_type(spark, sf_dir):
     return G.by_type(page_edges(spark, sf_dir))

@@ -52,6 +52,8 @@ def test_broken_and_rollup(spark):
     index = spark.createDataFrame([("b(1)",), ("b(2)",)], "id string")
     assert [r.dst for r in G.broken(e, index).collect()] == ["zz"]
     assert {r.id: r.sources for r in G.rollup(e).collect()}["b"] == ["a", "c"]
+    rolled = G.rollup(e, most=1).collect()
+    assert sorted((r.id, x) for r in rolled for x in r.sources) == [("b", "a"), ("b", "c"), ("tabla:9", "a"), ("zz", "a")] and len({(r.id, r.chunk) for r in rolled}) == len(rolled)
     many = spark.createDataFrame([(f"s{i % 50}", "hot") for i in range(80)] + [("a", "b")], "src string, dst string")
     chunks = G.incoming_chunks(many, 9).collect()
     assert sorted(s for r in chunks if r.id == "hot" for s in r.sources) == sorted({f"s{i}" for i in range(50)})

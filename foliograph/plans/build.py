@@ -44,7 +44,7 @@ def build(spark: SparkSession, source: str, target: str, gate: bool = True, floo
     edges = kept(refs.edges(texts, toc, chapters), "edges")
     index = kept(graph.node_index(toc, nodes), "index")
     kept(graph.incoming_chunks(edges), "backlinks")
-    kept(graph.rollup(edges, most=graph.CHUNK), "backlinks_rollup")
+    kept(graph.rollup(edges, "(", graph.CHUNK), "backlinks_rollup")
     kept(graph.described(graph.top_cited(edges), index), "top_cited")
     usage = kept(refs.table_usage(texts, tables, nodes), "table_usage")
     kept(review.buckets(review.priority(review.with_usage(review.unverified(tables), usage))), "review")

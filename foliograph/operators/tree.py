@@ -122,7 +122,7 @@ class Fold:
     def on_section(self, line) -> None:
         self.note = self.note_kind = None
         title, text = L.TITLE_OVERRIDES.get(line.label, (None, None))
-        if title is None:
+        if title is None or not (line.rest or "").startswith(title + " "):  # another document may have a section of this number
             title, text = _split(line.rest, 2, 120, False)
         self.section = self.target = self.add("node", id=line.label, root_id=line.label, kind="section", label=line.label, level=0, page=line.page, title=title)
         self.section["texts"] += [text] if text else []

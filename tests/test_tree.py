@@ -71,6 +71,12 @@ def test_title_override(spark):
     assert out == [("340-6", "Requisitos de aprobación", "Los cables tipo UF deben ser aprobados.")]
 
 
+def test_a_title_is_mended_only_where_it_is_the_printed_one(spark):
+    out = nodes(records(spark, ["340-6. Orden 13048. Pieza 19014"], 340))
+    assert out == [("340-6", "Orden 13048", "Pieza 19014")]
+
+
+
 def test_table_anchor(spark):
     out = records(spark, ["110-14. Conexiones.", "a) Uno", ("tbl", "110|110-14(a)"), ("tbl", "0|8")])
     assert [(r.id, r.ref) for r in T.owned(out, "anchor").collect()] == [("110-14(a)", "110-14(a)")]

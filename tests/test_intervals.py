@@ -37,3 +37,18 @@ def test_one_page_spreads_over_tasks(spark):
     assert spread[0] > 500 and spread[1] <= 64
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "a_bin" in plan[plan.index("Join") :].split("\n")[0]
+
+
+def test_an_interval_is_filed_only_in_levels_that_the_other_side_has(spark):
+    from foliograph.operators.intervals import filed_levels
+
+    levels = spark.createDataFrame([(0,), (2,), (5,)], "own int")
+    assert [r[0] for r in levels.orderBy("own").select(filed_levels(F.col("own"), [0, 2, 4])).collect()] == [[0, 2, 4], [2, 4], [5]]
+    assert [r[0] for r in levels.orderBy("own").select(filed_levels(F.col("own"), [])).collect()] == [[0], [2], [5]]
+
+
+def test_words_of_one_place_meet_a_zone_once(spark):
+    from foliograph.plans import catalog
+
+    text = catalog.queries()["zones_of_one_page"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Aggregate") == 2 and text.index("Join") < text.rindex("Aggregate")

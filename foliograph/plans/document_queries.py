@@ -9,6 +9,7 @@ from foliograph.functions import text as X
 from foliograph.operators import grid as D
 from foliograph.operators import lines as L
 from foliograph.operators import refs as R
+from foliograph.operators import scan as P
 from foliograph.operators import search as S
 from foliograph.operators import tree as T
 from foliograph.plans.registry import SQL, query, table
@@ -180,10 +181,10 @@ h AS (SELECT doc_id, n, (110 + n // 99) || '-' || (n % 99 + 1) AS id, 20 + n * 6
 p AS (SELECT *, unnest(range(0, more + 1)) AS j FROM h)
 SELECT doc_id, id, (page + j)::INTEGER AS page, CASE WHEN j = 0 THEN 400.0 ELSE 30.0 END AS y0, CASE WHEN j < more OR far THEN 770.0 ELSE 500.0 END AS y1 FROM p""")
 def table_regions(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("doc", F.col("o_custkey") % 3)
-    n = F.row_number().over(Window.partitionBy("doc").orderBy("o_orderkey")) - 1
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", (F.col("o_custkey") % 3).alias("doc"))
+    o = P.numbered(o, ["doc"], ["o_orderkey"], "n").withColumn("n", (F.col("n") - 1).cast("int"))  # three keys hold all rows
     # after 880 articles of 99 tables a further document begins
-    o = o.withColumn("n", n).withColumn("more_docs", F.floor(F.col("n") / 87120)).withColumn("n", F.col("n") % 87120)
+    o = o.withColumn("more_docs", F.floor(F.col("n") / 87120)).withColumn("n", F.col("n") % 87120)
     doc, page = F.concat(F.lit("d"), F.col("doc").cast("string"), F.lit("."), F.col("more_docs").cast("string")), (F.lit(20) + F.col("n") * 6).cast("int")
     text = F.concat(F.lit("Tabla "), (F.lit(110) + F.floor(F.col("n") / 99)).cast("string"), F.lit("-"), (F.col("n") % 99 + 1).cast("string"), F.lit(".- Titulo"))
     lines = o.select(doc.alias("doc_id"), page.alias("page"), F.lit(400.0).alias("y"), text.alias("text"))
@@ -194,7 +195,7 @@ def table_regions(spark, sf_dir):
     bands = j.select("doc_id", (F.col("p") + F.col("j")).alias("page"), F.when(F.col("j") == 0, 410.0).otherwise(30.0).alias("y0"), low.alias("y1"))
     pages = D.table_pages(bands, heads, 792.0)
     none = spark.createDataFrame([], "doc_id string, id string, note long, text string, bottom double")
-    return D.regions(pages, heads, none).select("doc_id", "id", "page", "y0", "y1")
+    return D.unordered_regions(pages, heads, none).select("doc_id", "id", "page", "y0", "y1")
 
 
 @query("""

@@ -91,6 +91,14 @@ def tokens(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(unaccent(col)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
+def tallied(words: Column) -> Column:
+    """The distinct words of an array, each with how often it is there (term, tf), in order. Counted inside the row, so nothing is shuffled."""
+    once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  x is evaluated once, not for every element
+    ends = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: ~F.element_at(s, i).eqNullSafe(F.get(s, i)))
+    runs = lambda s: once(ends(s), lambda e: F.transform(e, lambda at, j: F.struct(F.element_at(s, at).alias("term"), (at - F.coalesce(F.get(e, j - 1), F.lit(0))).cast("long").alias("tf"))))
+    return F.when(F.size(words) > 0, once(F.sort_array(words), runs))
+
+
 def grouped_number(col: Column) -> Column:
     return F.format_number(col, 0)
 

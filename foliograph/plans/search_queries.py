@@ -98,7 +98,7 @@ RARE = BM25.replace("'the', 'que', 'ander'", "'the', 'ander', 'haonnt', 'ciondeq
 @query(f"WITH {UNION}, {RARE} SELECT id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, id LIMIT 25")
 def block_max_search(spark, sf_dir):
     """The 25 best of all texts, from blocks that can reach them."""
-    index = R.write_block_index(every_text(spark, sf_dir), scratch_folder(spark), {"text": 1.0})
+    index = R.write_block_index(every_text(spark, sf_dir), scratch_folder(spark), {"text": 1.0}, fuzzy=False)
     return R.top_k(index, "the ander haonnt ciondeque", 25).select("id", F.round("score", 6).alias("score"))
 
 

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -254,20 +256,39 @@ def _check_nesting(known: DataFrame, depth: int | None) -> None:
         raise ValueError(f"nested deeper than {depth} levels")
 
 
+def _out_of_batch(batches):
+    """Each row of (child, root, depth) moved up to the first ancestor that is no child of its batch. Rows of a cycle, and those below one, stay as they are."""
+    for b in batches:
+        parent = pc.index_in(b.column(1), value_set=b.column(0).cast(b.column(1).type)).fill_null(-1).to_numpy()
+        top, far = np.where(parent < 0, np.arange(len(parent)), parent), (parent >= 0).astype(np.int64)
+        for _ in range(len(parent).bit_length()):
+            far, top = far + far[top], top[top]
+        out = parent[top] < 0
+        top, far = np.where(out, top, np.arange(len(top))), np.where(out, far, 0)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).take(pa.array(top)), pa.array(far + 1)], names=["child", "root", "depth"])
+
+
 def roots(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """(child, root, depth) of every child with one parent: its topmost ancestor and how far up that is, by pointer doubling. Each round holds one row for a child,
-    so chains of any length do; a cycle is an error."""
-    at = written(edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("root"), F.lit(1).cast("long").alias("depth")))
-    n = at.count()
-    while True:
+    """(child, root, depth) of every child with one parent: its topmost ancestor and how far up that is. Rows that come together are contracted together, batch by batch and
+    without a shuffle; only children that another batch points to, the joints, go into the rounds of pointer doubling. In rows ordered along their chains these are one
+    for a batch; in rows of no order they may be all, and each round holds one row for each. Chains of any length do; a cycle is an error."""
+    own = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("root"), F.lit(1).cast("long").alias("depth"))
+    rows = written(own.mapInArrow(_out_of_batch, own.schema))
+    n = rows.count()
+    pointed = written(rows.select(F.col("root").alias("p")).distinct())
+    at = written(rows.join(pointed, F.col("child") == F.col("p"), "left_semi"))
+    while not at.isEmpty():
         up = at.select(F.col("child").alias("u"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"))
         joined = at.join(up, F.col("root") == F.col("u"), "left")
         at = written(joined.select("child", F.coalesce("u_root", "root").alias("root"), (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth"), F.col("u").isNotNull().alias("moved")))
         if not at.where((F.col("child") == F.col("root")) | (F.col("depth") > n)).isEmpty():
             raise ValueError("nested deeper than any level: the parents of a node lead back to it")
         if at.where("moved").isEmpty():
-            return at.drop("moved")
+            break
         at = at.drop("moved")
+    above = at.select(F.col("child").alias("u"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"))
+    joined = rows.join(above, F.col("root") == F.col("u"), "left")
+    return joined.select("child", F.coalesce("u_root", "root").alias("root"), (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth"))
 
 
 def glossary(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

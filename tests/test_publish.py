@@ -1,5 +1,7 @@
 """Publication in one step, closures by doubling, and frames of several documents."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from foliograph.operators import lines as L
 from foliograph.operators import tree as T
 from foliograph.plans import publish as P
 from foliograph.sources import collections as C
+from foliograph.sources.scratch import written
 
 LOW = {"articles": 1, "sections": 2, "items": 1, "definitions": 0, "tables": 1, "reliable_tables": 1}
 
@@ -62,6 +65,36 @@ def test_roots_of_long_chains(spark):
     assert tuple(r) == (n - 1, 0, 0, n - 1, n * (n - 1) // 2)
 
 
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_roots_of_any_forest_in_any_order(spark, batch):
+    r = random.Random(batch)
+    parent = {i: None if i < 5 else r.randrange(max(0, i - 3), i) for i in range(400)}
+    want = set()
+    for i in range(5, 400):
+        at, depth = i, 0
+        while parent[at] is not None:
+            at, depth = parent[at], depth + 1
+        want.add((f"n{i}", f"n{at}", depth))
+    rows = [(f"n{i}", None if p is None else f"n{p}") for i, p in parent.items()]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for order in (rows, r.sample(rows, len(rows))):
+            got = [tuple(x) for x in T.roots(spark.createDataFrame(order, "child string, parent string"), "child", "parent").collect()]
+            assert len(got) == len(want) and set(got) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_ordered_chains_need_no_rounds_over_all_rows(spark, monkeypatch):
+    """Of chains in order only the joints between batches are doubled."""
+    sizes = []
+    monkeypatch.setattr(T, "written", lambda df: sizes.append((w := written(df)).count()) or w)
+    e = spark.range(0, 30_000, 1, 2).select(F.col("id").alias("child"), F.when(F.col("id") % 15_000 > 0, F.col("id") - 1).alias("parent"))
+    assert T.roots(e, "child", "parent").agg(F.max("depth")).first()[0] == 14_999
+    assert sizes[0] == 29_998 and max(sizes[1:]) < 20
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7])
 def test_cycles_are_errors(spark, size):
     e = spark.createDataFrame([(i, (i + 1) % size) for i in range(size)] + [(100, 0), (200, 300)], "child int, parent int")

@@ -6,8 +6,6 @@ Depth depends on all markers before a line, so the fold is sequential within an
 
 from __future__ import annotations
 
-from types import SimpleNamespace
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +17,11 @@ from foliograph.operators import lines as L
 from foliograph.sources.scratch import written
 
 RECORD = "rec string, id string, parent_id string, root_id string, article int, kind string, label string, level int, ord long, part string, page int, title string, text string, seq long, ref string, w int, h int"
+RECS = ("node", "part", "note", "exception", "item", "definition", "figure", "anchor")
+#: What the views below take of the records.
+OF_NODES = {"recs": ("node",), "columns": ("rec", "id", "parent_id", "root_id", "article", "kind", "label", "level", "ord", "part", "page", "title", "text")}
+OF_ITEMS = {"recs": ("node",), "columns": ("rec", "id", "parent_id", "root_id", "ord")}
+OF_ANNOTATIONS = {"recs": ("note", "exception", "item"), "columns": ("rec", "id", "article", "label", "ord", "text", "seq")}
 MARKERS = ("alpha", "paren", "num", "letter")
 
 
@@ -193,21 +196,48 @@ KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
 COLUMNS = {c.split()[0]: KINDS[c.split()[1]] for c in RECORD.split(", ")}
 
 
-def _fold(lines: pa.Table) -> pa.Table:
-    rows = sorted(lines.to_pylist(), key=lambda r: r["line_no"])
-    fold = Fold(rows[0]["article"])
-    for row in rows:
-        fold.read(SimpleNamespace(**row))
-    whole = [r | {"text": " ".join(" ".join(r["texts"]).split())} for r in fold.out]
-    doc = pa.array([rows[0]["doc_id"]] * len(whole), lines.schema.field("doc_id").type)
-    return pa.table([doc, *[pa.array([r.get(c) for r in whole], k) for c, k in COLUMNS.items()]], names=["doc_id", *COLUMNS])
+LINE = ("page", "cls", "label", "rest", "line", "term", "definition", "ref", "w", "h")
+
+
+class _Line:
+    __slots__ = LINE
+
+    def __init__(self, *values) -> None:
+        self.page, self.cls, self.label, self.rest, self.line, self.term, self.definition, self.ref, self.w, self.h = values
+
 
+def _values(column: pa.ChunkedArray):
+    """The column's values. Arrow makes an object of each on the way to Python; numpy does so for none, but knows no null integer."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    return column.to_pylist() if column.null_count and pa.types.is_integer(column.type) else column.to_numpy().tolist()
 
-def parse(lines: DataFrame) -> DataFrame:
+
+def _fold(lines: pa.Table, recs: tuple[str, ...] = RECS, columns: tuple[str, ...] = tuple(COLUMNS)) -> pa.Table:
+    lines = lines.take(pc.sort_indices(lines.column("line_no")))
+    doc, article = lines.column("doc_id")[0], lines.column("article")[0].as_py()
+    fold = Fold(article)
+    for line in map(_Line, *[_values(lines.column(c)) for c in LINE]):
+        fold.read(line)
+    kept = [r for r in fold.out if r["rec"] in recs]
+    if "text" in columns:
+        for r in kept:
+            r["text"] = " ".join(" ".join(r["texts"]).split())
+    made = [pa.array([r.get(c) for r in kept], COLUMNS[c]) for c in columns]
+    return pa.table([pa.repeat(doc, len(kept)), *made], names=["doc_id", *columns])
+
+
+def parse(lines: DataFrame, recs: tuple[str, ...] = RECS, columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
     """RECORDs of all articles: rec is node, part, note, exception, item, definition, figure or anchor; the last six carry the id
-    of the node they belong to, and seq keeps the order of what a node owns."""
+    of the node they belong to, and seq keeps the order of what a node owns. All lines are read whatever is asked; of the records only those of `recs`, with `columns`, leave Python."""
     ready = prepared(lines)
-    return ready.groupBy("doc_id", "article").applyInArrow(_fold, f"doc_id {dict(ready.dtypes)['doc_id']}, {RECORD}")
+    types = {c.split()[0]: c for c in RECORD.split(", ")}
+    schema = ", ".join([f"doc_id {dict(ready.dtypes)['doc_id']}", *[types[c] for c in columns]])
+
+    def fold(table: pa.Table) -> pa.Table:
+        return _fold(table, recs, columns)
+
+    return ready.groupBy("doc_id", "article").applyInArrow(fold, schema)
 
 
 def nodes(records: DataFrame) -> DataFrame:
@@ -229,7 +259,7 @@ def owned(records: DataFrame, rec: str) -> DataFrame:
 
 def item_ids(records: DataFrame) -> DataFrame:
     """The ids of all items below each section, in document order."""
-    below = nodes(records).where("parent_id is not null").groupBy("doc_id", "root_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("i"))
+    below = records.where("rec = 'node' and parent_id is not null").groupBy("doc_id", "root_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("i"))
     return below.select("doc_id", "root_id", F.col("i.id").alias("items"))
 
 

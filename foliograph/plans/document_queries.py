@@ -46,7 +46,7 @@ SELECT doc_id, sec || CASE WHEN k = 0 THEN '' WHEN k IN (5, 6) THEN '(c)(' || la
   'Pieza ' || l_partkey || CASE WHEN k = 6 AND next IS NOT NULL THEN ' sigue ' || next ELSE '' END AS text
 FROM n WHERE k IN (0, 2, 3, 4, 5, 6, 8)""")
 def parsed_nodes(spark, sf_dir):
-    return T.nodes(T.parse(made_lines(spark, sf_dir))).select("doc_id", "id", "parent_id", "root_id", "article", "kind", "label", "level", "title", "text")
+    return T.nodes(T.parse(made_lines(spark, sf_dir), **T.OF_NODES)).select("doc_id", "id", "parent_id", "root_id", "article", "kind", "label", "level", "title", "text")
 
 
 @query(SQL["parsed_nodes"])
@@ -75,7 +75,7 @@ def section_census(spark, sf_dir):
 WITH {MADE}, c AS (SELECT doc_id, sec, 'alpha' AS kind, count(*) AS n FROM m WHERE k IN (2, 3, 4, 8) GROUP BY 1, 2 UNION ALL SELECT doc_id, sec, 'paren', count(*) FROM m WHERE k IN (5, 6) GROUP BY 1, 2)
 SELECT doc_id, sec AS root_id, sum(n)::BIGINT AS items FROM c GROUP BY doc_id, sec""")
 def items_below(spark, sf_dir):
-    return T.item_ids(T.parse(made_lines(spark, sf_dir))).select("doc_id", "root_id", F.size("items").cast("long").alias("items"))
+    return T.item_ids(T.parse(made_lines(spark, sf_dir), **T.OF_ITEMS)).select("doc_id", "root_id", F.size("items").cast("long").alias("items"))
 
 
 # Each customer's text cites a section, maybe one that isn't there, a table, an article and a chapter.

@@ -132,3 +132,16 @@ def test_ancestors_end_or_fail(spark):
         T.ancestors(edges, "child", "parent", depth=1)
     with pytest.raises(ValueError, match="deeper"):
         T.ancestors(spark.createDataFrame([("x", "y"), ("y", "x")], "child string, parent string"), "child", "parent", depth=3)
+
+
+def test_parse_gives_only_what_is_asked(spark):
+    texts = ["110-14. Conexiones.", "1) A", "NOTA: los factores:", "(1) f", "(2) g", "2) B", "Excepción: salvo esto.", ("img", "fig1.png"), "a. Uno"]
+    rows = [(d, 110, i, None if i == 2 else 12, t[0] if isinstance(t, tuple) else "text", "" if isinstance(t, tuple) else t, t[1] if isinstance(t, tuple) else None, 10, 20) for d in ("d", None) for i, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows[::-1], SCHEMA)
+    whole = T.parse(lines).cache()
+    assert whole.where("rec = 'figure' and w = 10").count() == 2 and whole.where("rec = 'note' and page is null").count() == 2
+    for view, of in ((T.nodes, T.OF_NODES), (T.item_ids, T.OF_ITEMS), (T.annotations, T.OF_ANNOTATIONS)):
+        part = T.parse(lines, **of)
+        assert part.columns == ["doc_id", *of["columns"]] and {r.rec for r in part.select("rec").collect()} <= set(of["recs"])
+        assert sorted(map(repr, view(part).collect())) == sorted(map(repr, view(whole).collect()))
+    whole.unpersist()

@@ -62,7 +62,7 @@ WITH {MADE}
 SELECT doc_id, sec || CASE WHEN k = 1 THEN '' ELSE '(d)' END AS node_id, CASE WHEN k = 1 THEN 'note' ELSE 'exception' END AS kind, CASE WHEN k = 1 THEN 'NOTA 1' ELSE 'Excepción' END AS label,
   CASE WHEN k = 1 THEN 'Aviso ' ELSE 'Salvo ' END || l_partkey AS text, article FROM m WHERE k IN (1, 9)""")
 def parsed_annotations(spark, sf_dir):
-    return T.annotations(T.parse(made_lines(spark, sf_dir))).select("doc_id", "node_id", "kind", "label", "text", "article")
+    return T.annotations(T.parse(made_lines(spark, sf_dir), **T.OF_ANNOTATIONS)).select("doc_id", "node_id", "kind", "label", "text", "article")
 
 
 @query(f"""

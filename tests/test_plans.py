@@ -34,3 +34,10 @@ def test_filters_reach_the_scan(spark):
 
 def test_top_lists_sort_no_more_than_they_keep(spark):
     assert "TakeOrderedAndProject" in plan(catalog.queries()["backlinks"](spark, FOLDER))
+
+
+@pytest.mark.parametrize("name, most", [("parsed_annotations", 8), ("items_below", 6), ("parsed_nodes", 14)])
+def test_only_what_is_asked_leaves_the_fold(spark, name, most):
+    text = catalog.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    made = re.findall(r"FlatMapGroupsInArrow \[[^]]*\], fold\([^)]*\)#\d+, \[([^]]*)\]", text)
+    assert made and all(len(m.split(", ")) <= most for m in made)

@@ -194,7 +194,7 @@ def tables_from_words(spark, sf_dir):
     said = F.array(word(0, 40, F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))), word(100, 30, F.col("o_custkey")), word(132, 5, F.lit("n")), word(200, 20, F.col("o_orderkey") % 7))
     words = i.select("table_id", "page", "row", "top", F.posexplode(said).alias("at", "w")).select("table_id", "page", (F.col("row") * 4 + F.col("at")).alias("ord"), "w.x0", F.col("top").alias("y0"), "w.x1", (F.col("top") + 8).alias("y1"), "w.text")
     bands = i.select("table_id", "page", "row", (F.col("top") - 5).alias("y0"), (F.col("top") + 15).alias("y1"))
-    rules = spark.createDataFrame([], "table_id string, page int, orient string, pos double, lo double, hi double")
+    rules = bands.where("false").select("table_id", "page", F.lit("h").alias("orient"), F.col("y0").alias("pos"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))
     cells = D.merged_cells(words, rules, bands, D.best_layout(words, bands, rules))
     rows = cells.select("table_id", "page", F.posexplode("rows").alias("row", "cells"))
     return rows.select("table_id", "page", F.col("row").cast("long").alias("row"), F.posexplode("cells").alias("col", "c")).select("table_id", "page", "row", "col", "c.t", "c.cs", "c.rs")
